@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, ngram, pii, quality
+from . import chat, exact, mixing, ngram, pii, quality
 from .base import table
 
 QUERIES: dict = {}
@@ -77,3 +77,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.classes(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.copies(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
