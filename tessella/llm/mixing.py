@@ -3,11 +3,13 @@
 Sizes are numbers of words. Sources, in code point order with null last, get weights in turn; each source's target is its
 share of all words, but at most CAP times its own size: what is above goes to the others by weight, until none is above.
 A document of source s is then wanted target_s / size_s times: the whole part for sure, the fraction with that
-probability. Fractions are rounded dependently: two documents at a time exchange mass (probability times words) until one
-of them is 0 or 1, which keeps their common mass and, on average, each probability; the other goes on. Chunks of about
-CHUNK documents are folded side by side, each leaves one residual, and the residuals of a source are folded again in a
-tree until one is left, which is drawn by its probability. Large documents go first, so that small ones are left. So a source's words differ from its target by less than the
-size of that one document. Draws are hashes of ids, so reruns agree on any cluster.
+probability. Fractions are rounded dependently. In a chunk of about CHUNK documents, the largest open one is paired with
+the pooled mass (probability times words) of those still open: mass moves one way or the other, at random such that each
+probability stays the same on average, until the document is 0 or 1 or the pool is all 0 or all 1; a pool's members shift
+together. So the chunk's mass is kept exactly, and one document is left over, mostly its smallest. Chunks are folded side
+by side; what they leave is dealt to chunks and folded again, in a tree, until each source has one document left, which
+is drawn by its probability. A source's words differ from its target by less than the size of that one document. Draws
+are hashes of ids, so reruns agree on any cluster.
 
 Defined results: null and blank texts have size 0 and are taken as often as the whole part says; rows that repeat doc_id,
 source and size are one unit and share one decision; a source of size 0 has target 0; an empty table gives an empty
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .base import SPACES, settle
 
-WEIGHTS, CAP, CHUNK, SEED = (5, 2, 1), 3, 128, 20260101
+WEIGHTS, CAP, CHUNK, SEED, EPS = (5, 2, 1), 3, 128, 20260101, 1e-12
 
 
 def units(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -57,50 +59,60 @@ def _chance(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(9007199254740881)) / F.lit(9007199254740881.0)
 
 
-def _fold(items: Column, level: int) -> Column:
-    """Pair documents in turn; struct of the residual and an array of the documents decided."""
-    start = F.struct(F.get(items, F.lit(0)).alias("rest"), F.expr("cast(array() as array<struct<doc_id:{},size:bigint,m:bigint,more:int>>)".replace("{}", _fold.kind)).alias("done"))
+def _fold(items: Column, words: Column, mass: Column, kind: str, level: int) -> Column:
+    """Pair each document, largest first, with the pool of the later ones; struct of the one left over and an array of those decided.
 
-    def done(x: Column, more: int) -> Column:
-        return F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["m"].alias("m"), F.lit(more).alias("more"))
-
-    def left(x: Column, p: Column) -> Column:
-        return F.struct(x["light"].alias("light"), x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["m"].alias("m"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"))
+    State: words and mass of the pool, and scale, shift: a member's probability is scale * p + shift by now.
+    """
+    item = f"struct<light:bigint,h:bigint,doc_id:{kind},size:bigint,m:bigint,p:double>"
+    start = F.struct(words.alias("words"), mass.alias("mass"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"), F.lit(None).cast(item).alias("rest"), F.expr(f"cast(array() as array<struct<doc_id:{kind},size:bigint,m:bigint,more:int>>)").alias("done"))
 
     def step(a: Column, t: Column) -> Column:
-        r = a["rest"]
-        rw, tw = (r["size"] * r["m"]).cast("double"), (t["size"] * t["m"]).cast("double")
-        room = F.struct(((1 - r["p"]) * rw).alias("r_up"), (t["p"] * tw).alias("t_down"), (r["p"] * rw).alias("r_down"), ((1 - t["p"]) * tw).alias("t_up"))
-
-        def settled(v: Column) -> Column:
-            rise, fall = F.least(v["r_up"], v["t_down"]), F.least(v["r_down"], v["t_up"])
-            pair = lambda rest, gone: F.struct(rest.alias("rest"), gone.alias("gone"))
+        w = (t["size"] * t["m"]).cast("double")
+        p = F.least(F.greatest(a["scale"] * t["p"] + a["shift"], F.lit(0.0)), F.lit(1.0))
+        room = F.struct(p.alias("p"), F.greatest(a["words"] - w, F.lit(0.0)).alias("words"), F.greatest(a["mass"] - w * p, F.lit(0.0)).alias("mass"))
+
+        def moved(v: Column) -> Column:
+            spare = F.greatest(v["words"] - v["mass"], F.lit(0.0))
+            up, down = (1 - v["p"]) * w, v["p"] * w
+            rise, fall = F.least(up, v["mass"]), F.least(down, spare)
+
+            def to(mass: Column, scale: Column, shift: Column, more: int | None, left: Column | None = None) -> Column:
+                rest = a["rest"] if left is None else F.struct(t["light"].alias("light"), t["h"].alias("h"), t["doc_id"].alias("doc_id"), t["size"].alias("size"), t["m"].alias("m"), left.alias("p"))
+                done = a["done"] if more is None else F.concat(a["done"], F.array(F.struct(t["doc_id"].alias("doc_id"), t["size"].alias("size"), t["m"].alias("m"), F.lit(more).alias("more"))))
+                return F.struct(v["words"].alias("words"), mass.alias("mass"), scale.alias("scale"), shift.alias("shift"), rest.alias("rest"), done.alias("done"))
+
+            none, one = F.lit(0.0), F.lit(1.0)
+            lower, higher = 1 - up / v["mass"], down / spare
             return (
-                F.when(_chance(r["doc_id"], t["doc_id"], r["size"], t["size"], F.lit(SEED + level)) * (rise + fall) < fall,
-                       F.when(v["r_up"] <= v["t_down"], pair(left(t, t["p"] - v["r_up"] / tw), done(r, 1))).otherwise(pair(left(r, r["p"] + v["t_down"] / rw), done(t, 0))))
-                .otherwise(F.when(v["r_down"] <= v["t_up"], pair(left(t, t["p"] + v["r_down"] / tw), done(r, 0))).otherwise(pair(left(r, r["p"] - v["t_up"] / rw), done(t, 1))))
+                F.when(v["p"] < EPS, to(v["mass"], a["scale"], a["shift"], 0))
+                .when(v["p"] > 1 - EPS, to(v["mass"], a["scale"], a["shift"], 1))
+                .when(v["words"] <= 0, to(none, none, none, None, v["p"]))
+                .when(_chance(t["doc_id"], t["size"], F.lit(SEED + level)) * (rise + fall) < fall,
+                      F.when(up < v["mass"], to(v["mass"] - up, a["scale"] * lower, a["shift"] * lower, 1)).otherwise(to(none, none, none, None, v["p"] + v["mass"] / w)))
+                .otherwise(F.when(down < spare, to(v["mass"] + down, a["scale"] * (1 - higher), a["shift"] * (1 - higher) + higher, 0)).otherwise(to(v["words"], none, one, None, v["p"] - spare / w)))
             )
 
-        return _let(_let(room, settled), lambda x: F.struct(x["rest"].alias("rest"), F.concat(a["done"], F.array(x["gone"])).alias("done")))
+        return _let(room, moved)
 
-    return F.aggregate(F.slice(items, 2, F.size(items)), start, step)
+    return F.aggregate(items, start, step)
 
 
 def rounded(open_units: DataFrame) -> DataFrame:
     """Units (source, doc_id, size, m, p) with 0 < p < 1 and size > 0 to (source, doc_id, size, m, more): 1 if the fraction rounds up."""
-    _fold.kind = dict(open_units.dtypes)["doc_id"]
-    found, level = None, 0
+    kind, (found, level) = dict(open_units.dtypes)["doc_id"], (None, 0)
+    w = (F.col("size") * F.col("m")).cast("double")
     while True:
         counts = open_units.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
         dealt = open_units.join(counts, F.col("source").eqNullSafe(F.col("s"))).withColumn("h", F.xxhash64("doc_id", "size", F.lit(SEED - 1 - level)))
-        chunk = dealt.groupBy("source", "chunks", F.pmod("h", "chunks").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct((-F.col("size") * F.col("m")).alias("light"), "h", "doc_id", "size", "m", "p"))).alias("items"))
-        folded = settle(chunk.select("source", "chunks", _fold(F.col("items"), level).alias("f")).select("source", "chunks", "f.rest", "f.done"), "mix-level")
+        chunk = dealt.groupBy("source", "chunks", F.pmod("h", "chunks").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct((-F.col("size") * F.col("m")).alias("light"), "h", "doc_id", "size", "m", "p"))).alias("items"), F.sum(w).alias("w"), F.sum(w * F.col("p")).alias("mass"))
+        folded = settle(chunk.select("source", "chunks", _fold(F.col("items"), F.col("w"), F.col("mass"), kind, level).alias("f")).select("source", "chunks", "f.rest", "f.done"), "mix-level")
         fields = ["source", "x.doc_id", "x.size", "x.m"]
         part = folded.select("source", F.explode("done").alias("x")).select(*fields, "x.more")
-        last = folded.where("chunks = 1").select("source", F.col("rest").alias("x"))
+        last = folded.where("chunks = 1 and rest is not null").select("source", F.col("rest").alias("x"))
         part = part.unionByName(last.select(*fields, (_chance(F.col("x.doc_id"), F.col("x.size"), F.lit(SEED)) < F.col("x.p")).cast("int").alias("more")))
         found = part if found is None else found.unionByName(part)
-        open_units = folded.where("chunks > 1").select("source", F.col("rest").alias("x")).select(*fields, "x.p")
+        open_units = folded.where("chunks > 1 and rest is not null").select("source", F.col("rest").alias("x")).select(*fields, "x.p")
         level += 1
         if open_units.isEmpty():
             return found
