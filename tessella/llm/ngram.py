@@ -3,7 +3,9 @@
 Texts of equal sets form a class, represented by its smallest doc_id. Under any global order of the tokens, two sets of
 Jaccard similarity t or more share a token among their first n - ceil(t n) + 1 (the prefix). Three orders are used:
 rarest first, by bucket counts over the tokens of all documents, and two orders by different hashes. A pair is a candidate
-only if its prefixes meet under every order (and lengths and positions allow it); only candidates are verified.
+only if its prefixes meet under every order, and lengths, positions and what the prefixes show to differ allow it: below
+the smaller end of two prefixes of one order both sets are known, so tokens found on one side only are truly missing.
+Only candidates are verified.
 
 Pairs are not listed group by group. In each group of texts that share a rare token everybody is compared with the
 smallest member first; components are formed; then only members outside their group's main component are compared, with
@@ -73,6 +75,7 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _lists(values: np.ndarray, first: np.ndarray, size: np.ndarray, keep: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first keep values of each document in an order, and how many."""
     rank = np.arange(len(order)) - np.repeat(first[:-1], size)
     taken = rank < np.repeat(keep, size)
     return values[order][taken], np.minimum(keep, size)
@@ -82,20 +85,22 @@ def _prefixes(k: int, percent: int, rarity: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[list[np.ndarray]] = [[], [], []]
-            sizes, total = [], []
+            sizes: list[list[np.ndarray]] = [[], [], []]
+            total = []
             for _, w in chunks(batch.column(1), lower=True):
                 doc, token = w.shingles(k)
                 n, first = _by_doc(doc, len(w.count))
                 keep = np.where(n > 0, _least(n, percent), 0)
-                values, taken = _lists(token.view(np.int64), first, n, keep, np.lexsort((token, rarity[(token >> U(48)).astype(np.int64)], doc)))
-                parts[0].append(values)
-                for i in (1, 2):
-                    other = mix(token ^ _SEEDS[i + 1])
-                    parts[i].append(_lists(other.astype(np.uint32).view(np.int32), first, n, keep, np.lexsort((other, doc)))[0])
-                sizes.append(taken)
+                rare = np.lexsort((token, rarity[(token >> U(48)).astype(np.int64)], doc))
+                others = [mix(token ^ _SEEDS[i]) for i in (2, 3)]
+                ways = [(token.view(np.int64), keep, rare), *[((x >> U(33)).astype(np.int32), i * keep, np.lexsort((x, doc))) for i, x in zip((2, 1), others, strict=True)]]
+                for i, (values, most, order) in enumerate(ways):
+                    values, taken = _lists(values, first, n, most, order)
+                    parts[i].append(values)
+                    sizes[i].append(taken)
                 total.append(n)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes or [[]]))]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(p) if p else np.empty(0, np.int64 if i == 0 else np.int32))) for i, p in enumerate(parts)]
+            offsets = [pa.array(np.concatenate([[0], np.cumsum(np.concatenate(x or [[]]))]).astype(np.int32)) for x in sizes]
+            lists = [pa.ListArray.from_arrays(offsets[i], pa.array(np.concatenate(p) if p else np.empty(0, np.int64 if i == 0 else np.int32))) for i, p in enumerate(parts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(total or [[]]).astype(np.int64)), *lists], ["doc_id", "n", "p1", "p2", "p3"])
 
     return run
@@ -119,9 +124,14 @@ def _sets(k: int, bitmap: np.ndarray):
 
 def _verified(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     """Of pairs (a, b) those that pass the other orders and whose sets are similar."""
-    side = lambda x, cols: prefixes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in cols])
-    near = pairs.join(side("a", ["p2", "p3"]), "a").join(side("b", ["p2", "p3"]), "b").where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b")
-    near = settle(near.distinct(), "ngram-near")
+    side = lambda x: prefixes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "p2", "p3")])
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
+    for p in ("p2", "p3"):
+        low = F.array(F.least(F.array_max(f"{p}a"), F.array_max(f"{p}b")))  # in an array, so that lambdas take it as a value
+        missing = lambda x, y, p=p, low=low: F.get(F.transform(low, lambda end: F.size(F.filter(F.array_except(f"{p}{x}", f"{p}{y}"), lambda v: v < end))), F.lit(0))
+        near = near.where(F.arrays_overlap(f"{p}a", f"{p}b")).where(missing("a", "b") <= F.col("na") - need).where(missing("b", "a") <= F.col("nb") - need)
+    near = settle(near.select("a", "b").distinct(), "ngram-near")
     bit = F.xxhash64("doc_id").bitwiseAND(BITS - 1)
     ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id")))
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).collect()
