@@ -4,7 +4,8 @@ Texts of equal sets form a class, represented by its smallest doc_id. Under any
 Jaccard similarity t or more share a token among their first n - ceil(t n) + 1 (the prefix). Three orders are used:
 rarest first, by bucket counts over the tokens of all documents, and two orders by different hashes. A pair is a candidate
 only if its prefixes meet under every order, and lengths, positions and what the prefixes show to differ allow it: below
-the smaller end of two prefixes of one order both sets are known, so tokens found on one side only are truly missing.
+the smaller end of two prefixes of one order both sets are known, so tokens found on one side only are truly missing; and
+bits of parity per set of hashed tokens differ in no more places than the sets do.
 Only candidates are verified.
 
 Pairs are not listed group by group. In each group of texts that share a rare token everybody is compared with the
@@ -34,7 +35,7 @@ from .base import settle
 from .lanes import U, chunks, mix
 from .links import components
 
-BUCKETS, BITS, LARGE = 1 << 16, 1 << 23, 64
+BUCKETS, BITS, LARGE, PARITY = 1 << 16, 1 << 23, 64, 512
 _SEEDS = [U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0), U(0x082EFA98EC4E6C89)]
 
 
@@ -86,22 +87,26 @@ def _prefixes(k: int, percent: int, rarity: np.ndarray):
         for batch in batches:
             parts: list[list[np.ndarray]] = [[], [], []]
             sizes: list[list[np.ndarray]] = [[], [], []]
-            total = []
+            total, parity = [], []
             for _, w in chunks(batch.column(1), lower=True):
                 doc, token = w.shingles(k)
                 n, first = _by_doc(doc, len(w.count))
                 keep = np.where(n > 0, _least(n, percent), 0)
                 rare = np.lexsort((token, rarity[(token >> U(48)).astype(np.int64)], doc))
                 others = [mix(token ^ _SEEDS[i]) for i in (2, 3)]
-                ways = [(token.view(np.int64), keep, rare), *[((x >> U(33)).astype(np.int32), i * keep, np.lexsort((x, doc))) for i, x in zip((2, 1), others, strict=True)]]
+                ways = [(token.view(np.int64), keep, rare), *[((x >> U(33)).astype(np.int32), keep, np.lexsort((x, doc))) for x in others]]
                 for i, (values, most, order) in enumerate(ways):
                     values, taken = _lists(values, first, n, most, order)
                     parts[i].append(values)
                     sizes[i].append(taken)
                 total.append(n)
+                odd = np.bincount(doc * PARITY + (others[0] & U(PARITY - 1)).astype(np.int64), minlength=len(n) * PARITY) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             offsets = [pa.array(np.concatenate([[0], np.cumsum(np.concatenate(x or [[]]))]).astype(np.int32)) for x in sizes]
             lists = [pa.ListArray.from_arrays(offsets[i], pa.array(np.concatenate(p) if p else np.empty(0, np.int64 if i == 0 else np.int32))) for i, p in enumerate(parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(total or [[]]).astype(np.int64)), *lists], ["doc_id", "n", "p1", "p2", "p3"])
+            width = PARITY // 64
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width), pa.array(np.concatenate(parity) if parity else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(total or [[]]).astype(np.int64)), *lists, bits], ["doc_id", "n", "p1", "p2", "p3", "bits"])
 
     return run
 
@@ -124,9 +129,12 @@ def _sets(k: int, bitmap: np.ndarray):
 
 def _verified(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     """Of pairs (a, b) those that pass the other orders and whose sets are similar."""
-    side = lambda x: prefixes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "p2", "p3")])
+    side = lambda x, *names: prefixes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names])
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.get("bitsa", F.lit(i)).bitwiseXOR(F.get("bitsb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(differ <= F.col("na") + F.col("nb") - 2 * need)
+    near = settle(near.select("a", "b", "na", "nb").distinct(), "ngram-even")
+    near = near.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b")
     for p in ("p2", "p3"):
         low = F.array(F.least(F.array_max(f"{p}a"), F.array_max(f"{p}b")))  # in an array, so that lambdas take it as a value
         missing = lambda x, y, p=p, low=low: F.get(F.transform(low, lambda end: F.size(F.filter(F.array_except(f"{p}{x}", f"{p}{y}"), lambda v: v < end))), F.lit(0))
@@ -166,7 +174,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     copies = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     grouped = settle(rows.where("n > 0").join(copies, key, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "ngram-classes")
     gone = grouped.where("doc_id <> rep").select("doc_id")
-    prefixes = docs.mapInArrow(_prefixes(k, percent, rarity), f"doc_id {kind}, n long, p1 array<bigint>, p2 array<int>, p3 array<int>")
+    prefixes = docs.mapInArrow(_prefixes(k, percent, rarity), f"doc_id {kind}, n long, p1 array<bigint>, p2 array<int>, p3 array<int>, bits array<bigint>")
     prefixes = settle(prefixes.where("n > 0 and doc_id is not null").join(gone, "doc_id", "left_anti"), "ngram-prefixes")
 
     listed = prefixes.select("doc_id", "n", F.posexplode("p1").alias("pos", "token")).select("token", "doc_id", F.struct("doc_id", "n", "pos").alias("m"))
