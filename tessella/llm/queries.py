@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, ngram, pii, quality
+from . import chat, exact, mixing, ngram, pii, quality, toxicity
 from .base import table
 
 QUERIES: dict = {}
@@ -84,3 +84,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.copies(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int"))))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
