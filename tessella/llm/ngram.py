@@ -2,7 +2,7 @@
 
 Texts of equal sets form a class, represented by its smallest doc_id. Under any global order of the tokens, two sets of
 Jaccard similarity t or more share a token among their first n - ceil(t n) + 1 (the prefix). Three orders are used:
-rarest first, by bucket counts over the tokens of all documents, and two orders by different hashes. A pair is a candidate
+rarest first, by bucket counts over the tokens of all documents (fixed in number, so of a known size to send), and two orders by different hashes. A pair is a candidate
 only if its prefixes meet under every order, and lengths, positions and what the prefixes show to differ allow it: below
 the smaller end of two prefixes of one order both sets are known, so tokens found on one side only are truly missing; and
 bits of parity per set of hashed tokens differ in no more places than the sets do.
@@ -24,9 +24,12 @@ table gives an empty result; other columns are ignored; texts are read whole.
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,9 @@ from .base import settle
 from .lanes import U, chunks, mix
 from .links import components
 
-BUCKETS, BITS, LARGE, PARITY = 1 << 16, 1 << 23, 64, 512
+#: Counted buckets of tokens; bits of the bitmap; members above which a group is refined; parity bits of a set.
+BUCKETS, BITS, LARGE, PARITY = 1 << 20, 1 << 23, 1024, 512
+SHIFT, SLICE, FAN = U(64 - BUCKETS.bit_length() + 1), 1 << 12, 64
 _SEEDS = [U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0), U(0x082EFA98EC4E6C89)]
 
 
@@ -44,28 +49,55 @@ def _by_doc(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     return size, np.concatenate([[0], np.cumsum(size)])
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _unpack(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), np.int64)
+
+
+def _rarity(summary: DataFrame) -> np.ndarray:
+    """Class of each bucket of tokens, by how many tokens of all documents fell in it; slices of buckets are added up in a tree."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SLICE, np.int64)
+        for x in rows["counts"]:
+            total += _unpack(x)
+        return rows.head(1).assign(counts=[_pack(total)])
+
+    rows = summary.where("not is_doc").select("n", F.pmod("sig_a", F.lit(FAN)).alias("branch"), "counts")
+    schema = rows.schema
+    rows = rows.groupBy("n", "branch").applyInPandas(add, schema).groupBy("n").applyInPandas(add, schema)
+    counts = np.zeros((BUCKETS // SLICE, SLICE), np.int64)
+    for r in rows.collect():
+        counts[r.n] = _unpack(r.counts)
+    return np.round(4 * np.log2(counts.ravel() + 1)).astype(np.uint8)
+
+
 def _summary(k: int):
-    """Rows (doc_id, n, sig_a, sig_b) of documents, and rows (null, count, bucket, null) of how many tokens fell in a bucket."""
+    """Rows (doc_id, n, sig_a, sig_b) of documents, and for each task rows (n: number of a slice of buckets, counts: packed) of how many tokens fell in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, names = np.zeros(BUCKETS, np.int64), ["is_doc", "doc_id", "n", "sig_a", "sig_b"]
+        seen, names = np.zeros(BUCKETS, np.int64), ["is_doc", "doc_id", "n", "sig_a", "sig_b", "counts"]
         kind = None
         for batch in batches:
             kind = batch.column(0).type
             size, sums = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows), U)
             for begin, w in chunks(batch.column(1), lower=True):
                 doc, token = w.shingles(k)
-                seen += np.bincount((token >> U(48)).astype(np.int64), minlength=BUCKETS)
+                seen += np.bincount((token >> SHIFT).astype(np.int64), minlength=BUCKETS)
                 n, first = _by_doc(doc, len(w.count))
                 size[begin : begin + len(n)] = n
                 full = np.flatnonzero(n)
                 for i in range(2):
                     if len(full):
                         sums[i, begin + full] = np.add.reduceat(mix(token ^ _SEEDS[i]), first[full])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(size), bool)), batch.column(0), pa.array(size), *[pa.array(x.view(np.int64)) for x in sums]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(size), bool)), batch.column(0), pa.array(size), *[pa.array(x.view(np.int64)) for x in sums], pa.nulls(len(size), pa.binary())], names)
         if kind is not None:
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), bool)), pa.nulls(len(at), kind), pa.array(seen[at]), pa.array(at), pa.nulls(len(at), pa.int64())], names)
+            slices, task = BUCKETS // SLICE, int.from_bytes(os.urandom(4))
+            packed = [_pack(x) for x in seen.reshape(slices, SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(slices, bool)), pa.nulls(slices, kind), pa.array(np.arange(slices)), pa.array(np.full(slices, task)), pa.nulls(slices, pa.int64()), pa.array(packed, pa.binary())], names)
 
     return run
 
@@ -92,7 +124,7 @@ def _prefixes(k: int, percent: int, rarity: np.ndarray):
                 doc, token = w.shingles(k)
                 n, first = _by_doc(doc, len(w.count))
                 keep = np.where(n > 0, _least(n, percent), 0)
-                rare = np.lexsort((token, rarity[(token >> U(48)).astype(np.int64)], doc))
+                rare = np.lexsort((token, rarity[(token >> SHIFT).astype(np.int64)], doc))
                 others = [mix(token ^ _SEEDS[i]) for i in (2, 3)]
                 ways = [(token.view(np.int64), keep, rare), *[((x >> U(33)).astype(np.int32), keep, np.lexsort((x, doc))) for x in others]]
                 for i, (values, most, order) in enumerate(ways):
@@ -127,12 +159,17 @@ def _sets(k: int, bitmap: np.ndarray):
     return run
 
 
+def _even(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
+    """Whether parity bits differ in no more places than two similar sets of n and m tokens could."""
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return differ <= n + m - 2 * F.ceil(percent * (n + m) / (100 + percent))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     """Of pairs (a, b) those that pass the other orders and whose sets are similar."""
     side = lambda x, *names: prefixes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names])
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    differ = sum((F.bit_count(F.get("bitsa", F.lit(i)).bitwiseXOR(F.get("bitsb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(differ <= F.col("na") + F.col("nb") - 2 * need)
+    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(_even(F.col("na"), F.col("bitsa"), F.col("nb"), F.col("bitsb"), percent))
     near = settle(near.select("a", "b", "na", "nb").distinct(), "ngram-even")
     near = near.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b")
     for p in ("p2", "p3"):
@@ -163,11 +200,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of percent or more)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.dtypes[0][1]
-    summary = settle(docs.mapInArrow(_summary(k), f"is_doc boolean, doc_id {kind}, n long, sig_a long, sig_b long"), "ngram-summary")
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in summary.where("not is_doc").groupBy("sig_a").agg(F.sum("n").alias("n")).collect():
-        counts[r.sig_a] = r.n
-    rarity = np.round(4 * np.log2(counts + 1)).astype(np.uint8)
+    summary = settle(docs.mapInArrow(_summary(k), f"is_doc boolean, doc_id {kind}, n long, sig_a long, sig_b long, counts binary"), "ngram-summary")
+    rarity = _rarity(summary)
 
     rows = summary.where("is_doc").select("doc_id", "n", "sig_a", "sig_b")
     key = ["sig_a", "sig_b", "n"]
@@ -189,14 +223,15 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     member = member.select("token", "c", "m", m.doc_id.alias("x"), lead.doc_id.alias("y")).join(owner("x", "lx"), "x", "left").join(owner("y", "ly"), "y", "left")
     member = settle(member.select("token", "c", "m", F.coalesce("lx", "x").alias("own"), F.coalesce("ly", "y").alias("main")), "ngram-owned")
     split = member.where("own <> main").select("token").distinct()
-    member = member.join(split, "token", "left_semi")
-    fine = member.where(F.col("c") > LARGE).select("*", F.col("m.doc_id").alias("doc_id")).join(prefixes.select("doc_id", "p2"), "doc_id").select("token", "m", "own", "main", F.explode("p2").alias("second"))
-    coarse = member.where(F.col("c") <= LARGE).select("token", "m", "own", "main", F.lit(0).alias("second"))
+    # members carry their parity bits, so that the join itself drops what cannot be similar
+    member = member.join(split, "token", "left_semi").select("*", F.col("m.doc_id").alias("doc_id")).join(prefixes.select("doc_id", "bits"), "doc_id")
+    fine = member.where(F.col("c") > LARGE).join(prefixes.select("doc_id", "p2"), "doc_id").select("token", "m", "own", "main", "bits", F.explode("p2").alias("second"))
+    coarse = member.where(F.col("c") <= LARGE).select("token", "m", "own", "main", "bits", F.lit(0).alias("second"))
     member = coarse.unionByName(fine)
-    odd = member.where("own <> main").select("token", "second", F.col("m").alias("o"), F.col("own").alias("odd_own"))
+    odd = member.where("own <> main").select("token", "second", F.col("m").alias("o"), F.col("own").alias("odd_own"), F.col("bits").alias("odd_bits"))
     o = F.col("o")
-    pairs = odd.join(member, ["token", "second"]).where((F.col("own") != F.col("odd_own")) & _able(m.n, m.pos, o.n, o.pos, percent))
-    pairs = pairs.select(F.least(m.doc_id, o.doc_id).alias("a"), F.greatest(m.doc_id, o.doc_id).alias("b")).distinct()
+    able = (F.col("own") != F.col("odd_own")) & _able(m.n, m.pos, o.n, o.pos, percent) & _even(m.n, F.col("bits"), o.n, F.col("odd_bits"), percent)
+    pairs = odd.join(member, ["token", "second"]).where(able).select(F.least(m.doc_id, o.doc_id).alias("a"), F.greatest(m.doc_id, o.doc_id).alias("b")).distinct()
     more = _verified(docs, settle(pairs, "ngram-pairs"), prefixes, k, percent, kind)
     labels = components(links.unionByName(more))
 
