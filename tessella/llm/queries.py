@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, ngram, pii, quality, toxicity
+from . import chat, exact, mixing, ngram, pii, quality, sentencepiece, toxicity
 from .base import table
 
+#: Vocabulary of a public tokenizer.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -91,3 +94,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece.load(PIECES)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
