@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, ngram, pii, quality, sentencepiece, toxicity
+from . import chat, exact, lines, mixing, ngram, pii, quality, sentencepiece, toxicity
 from .base import table
 
 #: Vocabulary of a public tokenizer.
@@ -102,3 +102,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.decide(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
