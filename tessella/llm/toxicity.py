@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS = 3000, 100_000
+SAMPLE, SAMPLE_CHARS = 2000, 100_000
 BUCKETS, DIM, GRAMS, HALF = 1 << 17, 8, (3, 4, 5, 6), 24
-STEPS, BATCH, RATE, SEED, CACHE = 500, 64, 0.5, 7, 400_000
+STEPS, BATCH, RATE, SEED, CACHE, PART = 500, 64, 0.5, 7, 400_000, 1 << 14
 MIN_DOCS, DROPPED, DECAY = 5, 0.5, 0.0005
 _STRIP = b".,;:!?\"'()[]{}"
 
@@ -50,7 +50,13 @@ def tokens(text: str) -> list[bytes]:
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (one more than words) and buckets of each word's n-grams and of the word itself."""
+    """Offsets (one more than words) and buckets of each word's n-grams and of the word itself; a part of the words at a time."""
+    parts = [_subwords(words[i : i + PART]) for i in range(0, len(words), PART)] or [_subwords([])]
+    size = np.concatenate([np.diff(rows) for rows, _ in parts])
+    return np.concatenate([[0], np.cumsum(size)]), np.concatenate([at for _, at in parts])
+
+
+def _subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shown = [f"<{(w.strip(_STRIP) or w).decode('utf-8', 'ignore')[:64]}>" for w in words]
     size = np.array([len(w) for w in shown], np.int64)
     points = np.frombuffer("".join(shown).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -73,7 +79,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     what_all = what_all ^ (what_all >> np.uint64(31))
     what_all = what_all * np.uint64(0xD6E8FEB86659FD93)
     order = np.argsort(who_all, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(who_all, minlength=len(words)))]), ((what_all >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[order]
+    return np.concatenate([[0], np.cumsum(np.bincount(who_all, minlength=len(words)))]), ((what_all >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)[order]
 
 
 def best_window(ids: np.ndarray, scores: np.ndarray) -> tuple[float, int]:
