@@ -1,115 +1,178 @@
-"""Line dedup as an exact set-similarity join, in DataFrame operations only.
+"""Line dedup as an exact set-similarity join.
 
-A line's tokens are the hashes of its distinct windows of k lower-cased words. Tokens are ordered by rarity: by the bucket
-count of a window's rarest word (words counted over all documents, in BUCKETS buckets), then by hash. Two lines of Jaccard
-similarity t or more share a token among the first n - ceil(t n) + 1 of each; pairs that do, and pass the positional and
-length filters, are verified on all their tokens. A line is removed if any earlier line (by doc_id, then line number) is
-similar or equal, whether that one stays or not. So what stays does not depend on the order of the work.
+A line's tokens are its distinct windows of k words (A-Z in lower case), hashed. Tokens are ordered by rarity: by bucket
+counts over the tokens of all lines, then by hash. Two lines of Jaccard similarity t or more share a token among the first
+n - ceil(t n) + 1 of each; pairs that do, and pass the positional and length filters and the parity bits of their sets,
+are verified on all their tokens. A line is removed if any earlier line (by doc_id, then line number) is similar or equal,
+whether that one stays or not. So what stays does not depend on the order of the work.
 
-One earlier match is enough, so no group lists its pairs: equal lines are first reduced to their earliest; in each group
-that shares a token every line meets the earliest line of the group; only lines that this leaves unmatched meet the
-others. Lines of verified pairs are re-read; a bitmap of fixed size skips most others and changes no result.
+Lines of equal sets are one line to the join, known by a hash of the set, with the earliest as its place. One earlier match
+is enough, so no group lists its pairs: in each group that shares a token every line first meets the group's earliest;
+only lines that this leaves unmatched meet the earlier others. Documents of verified pairs are re-read; a bitmap of fixed size skips most others.
+
+Words are hashed and windows ordered in numpy, batch by batch; joins and decisions are DataFrame operations. A form in
+DataFrame operations alone came first; README.md has its figures.
 
 Defined results: lines are what line feeds separate; lines of fewer than min_words words always stay; null texts have no
-lines that could go and stay null; rows that repeat doc_id count as one document whose equal lines are the same line; an
-empty table gives an empty result; other columns are kept as they are; texts are read whole.
+lines that could go and stay null; rows that repeat doc_id count as one document whose equal lines are the same line; rows
+whose doc_id is null stay as they are; an empty table gives an empty result; other columns are kept; texts are read whole.
 """
 
 from __future__ import annotations
 
-import math
+import os
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, settle
-
-BUCKETS, BITS = 1 << 14, 1 << 20
-
-
-def _numbers(values: list[int]) -> Column:
-    """A constant array; folded by the optimizer."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACES), "")
-
-
-def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
-
-
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def rarity(docs: DataFrame) -> list[int]:
-    """Class of each bucket of words by how many words of all documents fall in it; BUCKETS rows at most reach the driver."""
-    words = docs.select(F.explode(_words(F.lower("text"))).alias("w"))
-    counts = {r.b: r.n for r in words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return [round(3 * math.log2(counts.get(b, 0) + 1)) for b in range(BUCKETS)]
-
-
-def _tokens(words: Column, classes: Column, k: int) -> Column:
-    """Distinct tokens of a line's words, rarest first: the class in the top byte, a hash below."""
-    keyed = F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.shiftleft(F.get(classes, _bucket(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    top = F.lit(-(1 << 56))
-    token = lambda part: F.array_min(part).bitwiseAND(top).bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 8))
-    windows = lambda all_: F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_) - (k - 1), F.lit(1))), lambda i: token(F.slice(all_, i, k)))
-    return F.sort_array(F.array_distinct(_let(keyed, windows)))
-
-
-def _able(n: Column, pos: Column, m: Column, other: Column, percent: int) -> Column:
-    most = F.least(pos, other) + 1 + F.least(n - pos - 1, m - other - 1)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
-
-
-def _matched(docs: DataFrame, pairs: DataFrame, classes: Column, k: int, percent: int) -> DataFrame:
-    """Of pairs (x, y) of lines (doc_id, line) the x whose y is similar, once each."""
+from .base import settle
+from .lanes import U, Words, chunks, mix
+from .ngram import _SEEDS, BITS, BUCKETS, SHIFT, SLICE, _able, _by_doc, _even, _least, _lists, _pack, _rarity
+
+PARITY = 256
+
+
+class Lines:
+    """Lines of at least min_words words of a chunk: doc (index in the chunk), line (number), and their tokens by (row, hash)."""
+
+    def __init__(self, w: Words, k: int, min_words: int):
+        breaks = np.flatnonzero(w.data == 10)
+        at = np.sort(np.concatenate([w.offsets[:-1], breaks + 1]))
+        first = np.searchsorted(w.start, at)
+        count = np.diff(np.append(first, len(w.start)))
+        doc = np.searchsorted(w.offsets, at, "right") - 1
+        # where an empty line or text ends at a text's start, the last entry is that text's first line, and the others have no words
+        number = np.arange(len(at)) - (np.searchsorted(at, w.offsets[:-1], "right") - 1)[np.minimum(doc, len(w.count) - 1)]
+        rows = np.flatnonzero(count >= min_words)
+        self.doc, self.line = doc[rows], number[rows]
+        place = np.full(len(at), -1)
+        place[rows] = np.arange(len(rows))
+        owner = place[np.repeat(np.arange(len(at)), count)]
+        n = len(owner) - k + 1
+        begin = np.flatnonzero((owner[:n] >= 0) & (owner[:n] == owner[k - 1 :])) if n > 0 else np.empty(0, np.int64)
+        token, row = w._window(begin, k), owner[begin]
+        for size in range(min_words, k):
+            short = rows[count[rows] == size]
+            token = np.concatenate([token, w._window(first[short], size)])
+            row = np.concatenate([row, place[short]])
+        order = np.lexsort((token, row))
+        token, row = token[order], row[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
+        self.token, self.row = token[new], row[new]
+        self.n, self.first = _by_doc(self.row, len(rows))
+
+    def signature(self, i: int) -> np.ndarray:
+        return np.add.reduceat(mix(self.token ^ _SEEDS[i]), self.first[:-1]).view(np.int64) if len(self.n) else np.empty(0, np.int64)
+
+
+def _summary(k: int, min_words: int):
+    """Rows of lines (doc_id, line, n, sig_a, sig_b), and for each task packed counts of its tokens by bucket (n: slice of buckets)."""
+    names = ["is_doc", "doc_id", "line", "n", "sig_a", "sig_b", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, kind = np.zeros(BUCKETS, np.int64), None
+        for batch in batches:
+            kind = batch.column(0).type
+            for begin, w in chunks(batch.column(1), lower=True):
+                x = Lines(w, k, min_words)
+                seen += np.bincount((x.token >> SHIFT).astype(np.int64), minlength=BUCKETS)
+                ids = batch.column(0).take(pa.array(x.doc + begin))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x.n), bool)), ids, pa.array(x.line.astype(np.int32)), pa.array(x.n), pa.array(x.signature(0)), pa.array(x.signature(1)), pa.nulls(len(x.n), pa.binary())], names)
+        if kind is not None:
+            slices, task = BUCKETS // SLICE, int.from_bytes(os.urandom(4))
+            packed = [_pack(x) for x in seen.reshape(slices, SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(slices, bool)), pa.nulls(slices, kind), pa.nulls(slices, pa.int32()), pa.array(np.arange(slices)), pa.array(np.full(slices, task)), pa.nulls(slices, pa.int64()), pa.array(packed, pa.binary())], names)
+
+    return run
+
+
+def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
+    """Rows (sig_a, n, p1: first tokens by rarity, bits) of lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, w in chunks(batch.column(0), lower=True):
+                x = Lines(w, k, min_words)
+                order = np.lexsort((x.token, rarity[(x.token >> SHIFT).astype(np.int64)], x.row))
+                values, taken = _lists(x.token.view(np.int64), x.first, x.n, _least(x.n, percent), order)
+                odd = np.bincount(x.row * PARITY + (mix(x.token ^ _SEEDS[2]) & U(PARITY - 1)).astype(np.int64), minlength=len(x.n) * PARITY) & 1
+                bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                p1 = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(values))
+                fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(x.n) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([pa.array(x.signature(0)), pa.array(x.n), p1, fixed], ["sig_a", "n", "p1", "bits"])
+
+    return run
+
+
+def _sets(k: int, min_words: int, bitmap: np.ndarray):
+    """Rows (doc_id, line, tokens) of the lines of documents whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.asarray(batch.column(2)).astype(np.int64) & (BITS - 1)
+            batch = batch.filter(pa.array((bitmap[bit >> 6] >> (bit & 63).astype(U)) & U(1) == 1))
+            for begin, w in chunks(batch.column(1), lower=True):
+                x = Lines(w, k, min_words)
+                tokens = pa.ListArray.from_arrays(pa.array(x.first.astype(np.int32)), pa.array(x.token.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.doc + begin)), pa.array(x.line.astype(np.int32)), tokens], ["doc_id", "line", "tokens"])
+
+    return run
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, min_words: int, kind: str) -> DataFrame:
+    """sig_a of the later lines of those pairs (sig_a, x, y), x and y places of lines, whose sets are similar."""
     pairs = settle(pairs.distinct(), "lines-pairs")
-    bit = lambda doc, line: F.xxhash64(doc, line).bitwiseAND(BITS - 1)
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("e")).select(bit("e.doc_id", "e.line").alias("bit"))
-    found = {r.at: r.word for r in ends.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).collect()}
-    bitmap = _numbers([found.get(i, 0) for i in range(BITS // 64)])
-    lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "t")).withColumn("bit", bit("doc_id", "line"))
-    lines = lines.where(F.call_function("shiftrightunsigned", F.get(bitmap, F.shiftright("bit", 6).cast("int")), F.col("bit").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
-    sets = settle(lines.select(F.struct("doc_id", "line").alias("e"), _tokens(_words(F.col("t")), classes, k).alias("s")).dropDuplicates(["e"]), "lines-sets")
-    joined = pairs.join(sets.select(F.col("e").alias("x"), F.col("s").alias("a")), "x").join(sets.select(F.col("e").alias("y"), F.col("s").alias("b")), "y")
-    both = F.size(F.array_intersect("a", "b"))
-    return settle(joined.where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("x").distinct(), "lines-matched")
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("e")).select("e.doc_id", "e.line").distinct()
+    words = ends.select(F.xxhash64("doc_id").bitwiseAND(BITS - 1).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).collect()
+    bitmap = np.zeros(BITS // 64, U)
+    for r in words:
+        bitmap[r.at] = np.int64(r.word).view(U)
+    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(k, min_words, bitmap), f"doc_id {kind}, line int, tokens array<bigint>")
+    sets = settle(sets.join(ends, ["doc_id", "line"], "left_semi").dropDuplicates(["doc_id", "line"]), "lines-sets")
+    side = lambda c: sets.select(F.struct("doc_id", "line").alias(c), F.col("tokens").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sx", "sy"))
+    found = pairs.join(side("x"), "x").join(side("y"), "y").where(100 * both >= percent * (F.size("sx") + F.size("sy") - both))
+    return settle(found.select("sig_a").distinct(), "lines-late")
 
 
 def decide(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per doc_id: doc_id, n_lines, removed (numbers of its lines that go, from 0, in order)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    classes = _numbers(rarity(docs))
-    split = docs.select("doc_id", F.posexplode(F.transform(F.split(F.lower("text"), "\n"), _words)).alias("line", "w"))
-    keys = [F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2")]
-    long_ = split.where(F.size("w") >= min_words)
-
-    prefix = lambda t: F.struct(F.size(t).alias("n"), F.slice(t, 1, F.size(t) - F.ceil(F.size(t) * percent / 100).cast("int") + 1).alias("prefix"))
-    rows = long_.select(*keys, "doc_id", "line", _let(_tokens(F.col("w"), classes, k), prefix).alias("p"))
-    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line", "p")).alias("f")).select("k1", "k2", "f.doc_id", "f.line", "f.p.n", "f.p.prefix")
-    first = settle(first, "lines-first")
-
-    listed = first.select(F.posexplode("prefix").alias("pos", "token"), "doc_id", "line", "n")
-    shared = listed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    member = settle(listed.join(shared, "token").select("token", F.struct("doc_id", "line").alias("e"), "n", "pos"), "lines-members")
-    lead = member.groupBy("token").agg(F.min(F.struct("e", "n", "pos")).alias("lead"))
-    member = member.join(lead, "token")
-    able = _able(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent)
-    matched = _matched(docs, member.where((F.col("e") != F.col("lead.e")) & able).select(F.col("e").alias("x"), F.col("lead.e").alias("y")), classes, k, percent)
-
-    open_ = member.where(F.col("e") != F.col("lead.e")).join(matched.select(F.col("x").alias("e")), "e", "left_anti")
-    probe = open_.select("token", F.col("e").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"))
-    able = _able(F.col("n"), F.col("pos"), F.col("xn"), F.col("xpos"), percent)
-    rest = probe.join(member.where(F.col("e") != F.col("lead.e")), "token").where((F.col("e") < F.col("x")) & able).select("x", F.col("e").alias("y"))
-    matched = matched.unionByName(_matched(docs, rest, classes, k, percent))
-
-    gone = matched.select(F.col("x.doc_id").alias("doc_id"), F.col("x.line").alias("line"), F.lit(True).alias("late"))
-    fate = first.select("k1", "k2", "doc_id", "line").join(gone, ["doc_id", "line"], "left").select("k1", "k2", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("late", F.lit(False)).alias("late"))
-    away = long_.select(*keys, "doc_id", "line").join(fate, ["k1", "k2"]).where(F.col("late") | ~F.col("doc_id").eqNullSafe(F.col("d")) | (F.col("line") != F.col("l")))
+    kind = docs.dtypes[0][1]
+    known = docs.where("doc_id is not null")
+    summary = settle(known.mapInArrow(_summary(k, min_words), f"is_doc boolean, doc_id {kind}, line int, n long, sig_a long, sig_b long, counts binary"), "lines-summary")
+    rarity = _rarity(summary)
+    rows = summary.where("is_doc").select("doc_id", "line", "n", "sig_a", "sig_b")
+    key = ["sig_a", "sig_b", "n"]
+    first = settle(rows.groupBy(*key).agg(F.min(F.struct("doc_id", "line")).alias("e")), "lines-first")
+
+    prefixes = settle(known.select("text").mapInArrow(_prefixes(k, percent, min_words, rarity), "sig_a long, n long, p1 array<bigint>, bits array<bigint>"), "lines-prefixes")
+    listed = prefixes.select("sig_a", F.col("n").cast("int").alias("n"), F.posexplode("p1").alias("pos", "token"))
+    # equal lines have equal prefixes, so a token with one signature has one line
+    shared = listed.groupBy("token").agg(F.min("sig_a").alias("a"), F.max("sig_a").alias("z")).where("a <> z").select("token")
+    member = listed.join(shared, "token").groupBy("token", "sig_a").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    member = settle(member.join(first.select("sig_a", "e"), "sig_a"), "lines-members")
+    sketch = prefixes.join(member.select("sig_a").distinct(), "sig_a", "left_semi").select("sig_a", "bits").dropDuplicates(["sig_a"])
+    member = settle(member.join(sketch, "sig_a"), "lines-sketched")
+    groups = member.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("e", "n", "pos", "bits")).alias("lead"))
+    member = member.join(groups, "token")
+    lead = F.col("lead")
+    able = _able(F.col("n"), F.col("pos"), lead.n, lead.pos, percent) & _even(F.col("n"), F.col("bits"), lead.n, lead.bits, percent, PARITY)
+    later = member.where(F.col("e") != lead.e)
+    late = _verified(known, later.where(able).select("sig_a", F.col("e").alias("x"), lead.e.alias("y")), k, percent, min_words, kind)
+
+    probe = later.join(late, "sig_a", "left_anti").select("token", "sig_a", F.col("e").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("bits").alias("xbits"))
+    others = later.select("token", F.col("e").alias("y"), "n", "pos", "bits")
+    able = _able(F.col("n"), F.col("pos"), F.col("xn"), F.col("xpos"), percent) & _even(F.col("n"), F.col("bits"), F.col("xn"), F.col("xbits"), percent, PARITY)
+    rest = probe.join(others, "token").where((F.col("y") < F.col("x")) & able).select("sig_a", "x", "y")
+    late = late.unionByName(_verified(known, rest, k, percent, min_words, kind))
+
+    fate = first.join(late.withColumn("late", F.lit(True)), "sig_a", "left").select(*key, "e", F.coalesce("late", F.lit(False)).alias("late"))
+    away = rows.join(fate, key).where(F.col("late") | (F.struct("doc_id", "line") != F.col("e")))
     away = away.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     counted = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0))).alias("n_lines"))
     none = F.expr("cast(array() as array<int>)")
@@ -119,11 +182,10 @@ def decide(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 5, d
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 5, doc_id: str = "doc_id", text: str = "text", drop_empty: bool = False) -> DataFrame:
     """docs with the removed lines cut out of text; drop_empty drops documents of which no word is left by that."""
     cut = decide(docs, k, percent, min_words, doc_id, text).where("size(removed) > 0").select(F.col("doc_id").alias("_d"), "removed")
-    kept = F.transform(F.filter(F.arrays_zip(F.split(text, "\n").alias("t"), F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1).alias("i")), lambda x: ~F.array_contains(F.col("removed"), x["i"])), lambda x: x["t"])
+    numbered = F.arrays_zip(F.split(text, "\n").alias("t"), F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1).alias("i"))
+    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.col("removed"), x["i"])), lambda x: x["t"])
     changed = F.col("removed").isNotNull()
-    out = docs.join(cut, docs[doc_id] == cut["_d"], "left")
-    fresh = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text))
-    out = out.withColumn("_text", fresh)
+    out = docs.join(cut, docs[doc_id] == cut["_d"], "left").withColumn("_text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text)))
     if drop_empty:
         out = out.where(~changed | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.col("_text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -159,9 +159,9 @@ def _sets(k: int, bitmap: np.ndarray):
     return run
 
 
-def _even(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
+def _even(n: Column, a: Column, m: Column, b: Column, percent: int, parity: int = PARITY) -> Column:
     """Whether parity bits differ in no more places than two similar sets of n and m tokens could."""
-    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(parity // 64)), F.lit(0))
     return differ <= n + m - 2 * F.ceil(percent * (n + m) / (100 + percent))
 
 
