@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the catalog."""
 
-from . import reports  # noqa: F401
+from . import curation, gates, reports  # noqa: F401
