@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 BLANK = "▁"
 _BASE = U(0x9E3779B97F4A7C15)
-SLOTS, CACHE, CHUNK, NONE = 1 << 20, 400_000, 1 << 22, -1
+SLOTS, CACHE, CHUNK, NONE = 1 << 20, 300_000, 1 << 21, -1
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -348,7 +348,9 @@ def load(path: str) -> Pieces:
     return Pieces(Path(path).read_bytes())
 
 
-def _encoded(pieces: Pieces):
+def _encoded(pieces: Pieces, decoded: bool):
+    """Batches with ids appended, read from the last column; with decoded, also the text that the ids give back."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(pieces)
         for batch in batches:
@@ -361,9 +363,13 @@ def _encoded(pieces: Pieces):
                     end += 1
                 part = [t.as_py() for t in texts[begin:end]]
                 ids, n = encoder.encode([t or "" for t in part])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append([t is None for t in part], False))
-                chunk = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays([*chunk.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))], [*batch.schema.names, "ids"])
+                ends = np.concatenate([[0], np.cumsum(n)])
+                offsets = pa.array(ends.astype(np.int32), mask=np.append([t is None for t in part], False))
+                chunk, more, names = batch.slice(begin, end - begin), [pa.ListArray.from_arrays(offsets, pa.array(ids))], ["ids"]
+                if decoded:
+                    more.append(pa.array([None if t is None else pieces.decode(ids[a:z]) for t, a, z in zip(part, ends[:-1], ends[1:], strict=True)], pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], *more], [*batch.schema.names[:-1], *names])
                 begin = end
 
     return run
@@ -379,20 +385,20 @@ def _decoded(pieces: Pieces):
     return run
 
 
-def _with(df: DataFrame, column: str, function, name: str, kind: str, keep_column: bool) -> DataFrame:
-    """df with a column added that a function of Arrow batches, whose last column it reads, appends."""
-    fields = [f for f in df.schema.fields if f.name != name]
+def _with(df: DataFrame, column: str, function, more: dict[str, str]) -> DataFrame:
+    """df with columns that a function of Arrow batches puts in the place of the last, a copy of column."""
+    fields = [f for f in df.schema.fields if f.name not in more]
     rows = df.select(*[F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(fields)], F.col(f"`{column}`").alias("_in"))
-    schema = ", ".join([f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + (["_in string"] if keep_column else []) + [f"{name} {kind}"])
+    schema = ", ".join([f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + [f"{name} {kind}" for name, kind in more.items()])
     found = rows.mapInArrow(function, schema)
-    return found.select(*[F.col(f"_{i}").alias(f.name) for i, f in enumerate(fields)], name)
+    return found.select(*[F.col(f"_{i}").alias(f.name) for i, f in enumerate(fields)], *more)
 
 
-def encode(df: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """df with ids array<int>."""
-    return _with(df, text, _encoded(pieces), "ids", "array<int>", True)
+def encode(df: DataFrame, pieces: Pieces, text: str = "text", decoded: bool = False) -> DataFrame:
+    """df with ids array<int>; with decoded, also the text that they give back, decoded by the same task."""
+    return _with(df, text, _encoded(pieces, decoded), {"ids": "array<int>"} | ({"decoded": "string"} if decoded else {}))
 
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
     """df with decoded, the text of an array of ids."""
-    return _with(df, ids, _decoded(pieces), "decoded", "string", False)
+    return _with(df, ids, _decoded(pieces), {"decoded": "string"})
