@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the catalog."""
 
-from . import curation, gates, reports, stock, texts  # noqa: F401
+from . import curation, extensions, gates, reports, stock, texts  # noqa: F401
