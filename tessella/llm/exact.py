@@ -44,13 +44,12 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # ~doc_id turns the order round without overflow, and null stays last
     groups = rows.where("content_key is not null").groupBy("content_key").agg(F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("inv"))).alias("best"), F.count(F.lit(1)).alias("n"))
     groups = groups.select("content_key", F.bitwise_not("best.inv").alias("best_id"), F.col("best.n_chars").alias("best_chars"), "n")
-    alone = F.col("n").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("best_id"))
-    return rows.join(groups, "content_key", "left").select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("n_chars") == F.col("best_chars")))).alias("kept"),
-        *(["text_sha256"] if digest_all else []),
-    )
+    more = ["text_sha256"] if digest_all else []
+    # rows that are alone have no key; in the join they would all meet in one task
+    alone = rows.where("content_key is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *more)
+    kept = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("n_chars") == F.col("best_chars"))
+    found = rows.where("content_key is not null").join(groups, "content_key").select("doc_id", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), *more)
+    return found.unionByName(alone)
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
