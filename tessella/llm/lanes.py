@@ -34,6 +34,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+def ordered(row: np.ndarray, high: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Order of entries by row, then a class below 256, then token; one sort of packed keys where they fit."""
+    if len(row) and int(row.max()) < 1 << 17:
+        return np.argsort((row.astype(U) << U(47)) | (high.astype(U) << U(39)) | (token >> U(25)))
+    return np.lexsort((token, high, row))
+
+
+def distinct(row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (row, token) once, by row, then token."""
+    if len(row) and int(row.max()) < 1 << 17:
+        order = np.argsort((row.astype(U) << U(47)) | (token >> U(17)))
+    else:
+        order = np.lexsort((token, row))
+    row, token = row[order], token[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
+    return row[new], token[new]
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, CHUNK * 2)
@@ -105,11 +124,7 @@ class Words:
             if len(short):
                 found = np.concatenate([found, self._window(self.first[short], n)])
                 doc = np.concatenate([doc, short])
-        order = np.lexsort((found, doc))
-        found, doc = found[order], doc[order]
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
-        return doc[new], found[new]
+        return distinct(doc, found)
 
 
 def chunks(texts: pa.Array, lower: bool) -> Iterator[tuple[int, Words]]:

@@ -25,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import settle
-from .lanes import U, Words, chunks, mix
+from .lanes import U, Words, chunks, distinct, mix, ordered
 from .ngram import _SEEDS, BITS, BUCKETS, SHIFT, SLICE, _able, _by_doc, _even, _least, _lists, _pack, _rarity
 
-PARITY = 256
+PARITY, REMEMBERED = 256, 500_000
 
 
 class Lines:
@@ -58,11 +58,7 @@ class Lines:
             short = rows[count[rows] == size]
             token = np.concatenate([token, w._window(first[short], size)])
             row = np.concatenate([row, place[short]])
-        order = np.lexsort((token, row))
-        token, row = token[order], row[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
-        self.token, self.row = token[new], row[new]
+        self.row, self.token = distinct(row, token)
         self.n, self.first = _by_doc(self.row, len(rows))
 
     def signature(self, i: int) -> np.ndarray:
@@ -91,19 +87,24 @@ def _summary(k: int, min_words: int):
 
 
 def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
-    """Rows (sig_a, n, p1: first tokens by rarity, bits) of lines."""
+    """Rows (sig_a, n, p1: first tokens by rarity, bits) of lines; a task gives a line that it remembers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, w in chunks(batch.column(0), lower=True):
                 x = Lines(w, k, min_words)
-                order = np.lexsort((x.token, rarity[(x.token >> SHIFT).astype(np.int64)], x.row))
+                order = ordered(x.row, rarity[(x.token >> SHIFT).astype(np.int64)], x.token)
                 values, taken = _lists(x.token.view(np.int64), x.first, x.n, _least(x.n, percent), order)
                 odd = np.bincount(x.row * PARITY + (mix(x.token ^ _SEEDS[2]) & U(PARITY - 1)).astype(np.int64), minlength=len(x.n) * PARITY) & 1
                 bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 p1 = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(values))
                 fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(x.n) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(bits))
-                yield pa.RecordBatch.from_arrays([pa.array(x.signature(0)), pa.array(x.n), p1, fixed], ["sig_a", "n", "p1", "bits"])
+                sig = x.signature(0)
+                new = np.array([not (s in seen or seen.add(s)) for s in sig.tolist()], bool)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(x.n), p1, fixed], ["sig_a", "n", "p1", "bits"]).filter(pa.array(new))
 
     return run
 
@@ -152,9 +153,10 @@ def decide(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 5, d
 
     prefixes = settle(known.select("text").mapInArrow(_prefixes(k, percent, min_words, rarity), "sig_a long, n long, p1 array<bigint>, bits array<bigint>"), "lines-prefixes")
     listed = prefixes.select("sig_a", F.col("n").cast("int").alias("n"), F.posexplode("p1").alias("pos", "token"))
-    # equal lines have equal prefixes, so a token with one signature has one line
-    shared = listed.groupBy("token").agg(F.min("sig_a").alias("a"), F.max("sig_a").alias("z")).where("a <> z").select("token")
-    member = listed.join(shared, "token").groupBy("token", "sig_a").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    # a token with one signature has one line; one shuffle serves to find the others, and a line is listed once a task at most
+    group = Window.partitionBy("token")
+    shared = listed.withColumns({"a": F.min("sig_a").over(group), "z": F.max("sig_a").over(group)}).where("a <> z")
+    member = shared.groupBy("token", "sig_a").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     member = settle(member.join(first.select("sig_a", "e"), "sig_a"), "lines-members")
     sketch = prefixes.join(member.select("sig_a").distinct(), "sig_a", "left_semi").select("sig_a", "bits").dropDuplicates(["sig_a"])
     member = settle(member.join(sketch, "sig_a"), "lines-sketched")

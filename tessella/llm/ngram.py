@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import settle
-from .lanes import U, chunks, mix
+from .lanes import U, chunks, mix, ordered
 from .links import components
 
 #: Counted buckets of tokens; bits of the bitmap; members above which a group is refined; parity bits of a set.
@@ -124,7 +124,7 @@ def _prefixes(k: int, percent: int, rarity: np.ndarray):
                 doc, token = w.shingles(k)
                 n, first = _by_doc(doc, len(w.count))
                 keep = np.where(n > 0, _least(n, percent), 0)
-                rare = np.lexsort((token, rarity[(token >> SHIFT).astype(np.int64)], doc))
+                rare = ordered(doc, rarity[(token >> SHIFT).astype(np.int64)], token)
                 others = [mix(token ^ _SEEDS[i]) for i in (2, 3)]
                 ways = [(token.view(np.int64), keep, rare), *[((x >> U(33)).astype(np.int32), keep, np.lexsort((x, doc))) for x in others]]
                 for i, (values, most, order) in enumerate(ways):
