@@ -40,3 +40,15 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows that a Python worker gets at a time; with a few KB a text, a few MB.
+BATCH_ROWS = 1000
+
+
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows, so that a worker's memory stays small; the setting holds for the session."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(function, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import settle
+from .base import arrow_map, settle
 from .lanes import U, Words, chunks, distinct, mix, ordered
 from .ngram import _SEEDS, BITS, BUCKETS, SHIFT, SLICE, _able, _by_doc, _even, _least, _lists, _pack, _rarity
 
@@ -132,7 +132,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, min_words
     bitmap = np.zeros(BITS // 64, U)
     for r in words:
         bitmap[r.at] = np.int64(r.word).view(U)
-    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(k, min_words, bitmap), f"doc_id {kind}, line int, tokens array<bigint>")
+    sets = arrow_map(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), _sets(k, min_words, bitmap), f"doc_id {kind}, line int, tokens array<bigint>")
     sets = settle(sets.join(ends, ["doc_id", "line"], "left_semi").dropDuplicates(["doc_id", "line"]), "lines-sets")
     side = lambda c: sets.select(F.struct("doc_id", "line").alias(c), F.col("tokens").alias(f"s{c}"))
     both = F.size(F.array_intersect("sx", "sy"))
@@ -145,13 +145,13 @@ def decide(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 5, d
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.dtypes[0][1]
     known = docs.where("doc_id is not null")
-    summary = settle(known.mapInArrow(_summary(k, min_words), f"is_doc boolean, doc_id {kind}, line int, n long, sig_a long, sig_b long, counts binary"), "lines-summary")
+    summary = settle(arrow_map(known, _summary(k, min_words), f"is_doc boolean, doc_id {kind}, line int, n long, sig_a long, sig_b long, counts binary"), "lines-summary")
     rarity = _rarity(summary)
     rows = summary.where("is_doc").select("doc_id", "line", "n", "sig_a", "sig_b")
     key = ["sig_a", "sig_b", "n"]
     first = settle(rows.groupBy(*key).agg(F.min(F.struct("doc_id", "line")).alias("e")), "lines-first")
 
-    prefixes = settle(known.select("text").mapInArrow(_prefixes(k, percent, min_words, rarity), "sig_a long, n long, p1 array<bigint>, bits array<bigint>"), "lines-prefixes")
+    prefixes = settle(arrow_map(known.select("text"), _prefixes(k, percent, min_words, rarity), "sig_a long, n long, p1 array<bigint>, bits array<bigint>"), "lines-prefixes")
     listed = prefixes.select("sig_a", F.col("n").cast("int").alias("n"), F.posexplode("p1").alias("pos", "token"))
     # a token with one signature has one line; one shuffle serves to find the others, and a line is listed once a task at most
     group = Window.partitionBy("token")

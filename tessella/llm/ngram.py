@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle
+from .base import arrow_map, settle
 from .lanes import U, chunks, mix, ordered
 from .links import components
 
@@ -184,7 +184,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, k: int, pe
     for r in words:
         bitmap[r.at] = np.int64(r.word).view(U)
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = settle(texts.mapInArrow(_sets(k, bitmap), f"doc_id {kind}, tokens array<bigint>"), "ngram-sets").dropDuplicates(["doc_id"])
+    sets = settle(arrow_map(texts, _sets(k, bitmap), f"doc_id {kind}, tokens array<bigint>"), "ngram-sets").dropDuplicates(["doc_id"])
     named = lambda x: sets.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     return settle(near.join(named("a"), "a").join(named("b"), "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "ngram-links")
@@ -200,7 +200,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of percent or more)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.dtypes[0][1]
-    summary = settle(docs.mapInArrow(_summary(k), f"is_doc boolean, doc_id {kind}, n long, sig_a long, sig_b long, counts binary"), "ngram-summary")
+    summary = settle(arrow_map(docs, _summary(k), f"is_doc boolean, doc_id {kind}, n long, sig_a long, sig_b long, counts binary"), "ngram-summary")
     rarity = _rarity(summary)
 
     rows = summary.where("is_doc").select("doc_id", "n", "sig_a", "sig_b")
@@ -208,7 +208,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     copies = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     grouped = settle(rows.where("n > 0").join(copies, key, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "ngram-classes")
     gone = grouped.where("doc_id <> rep").select("doc_id")
-    prefixes = docs.mapInArrow(_prefixes(k, percent, rarity), f"doc_id {kind}, n long, p1 array<bigint>, p2 array<int>, p3 array<int>, bits array<bigint>")
+    prefixes = arrow_map(docs, _prefixes(k, percent, rarity), f"doc_id {kind}, n long, p1 array<bigint>, p2 array<int>, p3 array<int>, bits array<bigint>")
     prefixes = settle(prefixes.where("n > 0 and doc_id is not null").join(gone, "doc_id", "left_anti"), "ngram-prefixes")
 
     listed = prefixes.select("doc_id", "n", F.posexplode("p1").alias("pos", "token")).select("token", "doc_id", F.struct("doc_id", "n", "pos").alias("m"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle
+from .base import arrow_map, settle
 from .lanes import chunks
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_digits", "n_distinct"]
@@ -77,7 +77,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the counts of each text."""
     kind = docs.select(doc_id).dtypes[0][1]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_measure, f"doc_id {kind}, " + ", ".join(f"{k} long" for k in COUNTS))
+    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), _measure, f"doc_id {kind}, " + ", ".join(f"{k} long" for k in COUNTS))
 
 
 def _vote(bad: Column, good: Column) -> Column:

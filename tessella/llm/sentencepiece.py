@@ -30,10 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import arrow_map
+
 U = np.uint64
 BLANK = "▁"
 _BASE = U(0x9E3779B97F4A7C15)
-SLOTS, CACHE, CHUNK, NONE = 1 << 20, 300_000, 1 << 21, -1
+SLOTS, CACHE, CHUNK, NONE = 1 << 19, 200_000, 1 << 21, -1
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -178,14 +180,14 @@ class Pieces:
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys, values = self.slots
         key = a * len(self.texts) + b
-        slot = ((key.astype(U) * _BASE) >> U(44)).astype(np.int64)
+        slot = ((key.astype(U) * _BASE) >> U(45)).astype(np.int64)
         new = np.flatnonzero(keys[slot] != key)
         if len(new):
             pairs, where = np.unique(key[new], return_inverse=True)
             found = self._fits(pairs // len(self.texts), pairs % len(self.texts))
             out = values[slot]
             out[new] = found[where]
-            spot = ((pairs.astype(U) * _BASE) >> U(44)).astype(np.int64)
+            spot = ((pairs.astype(U) * _BASE) >> U(45)).astype(np.int64)
             keys[spot] = pairs
             values[spot] = False
             last = keys[spot] == pairs  # of pairs that share a slot one stays
@@ -390,7 +392,7 @@ def _with(df: DataFrame, column: str, function, more: dict[str, str]) -> DataFra
     fields = [f for f in df.schema.fields if f.name not in more]
     rows = df.select(*[F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(fields)], F.col(f"`{column}`").alias("_in"))
     schema = ", ".join([f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + [f"{name} {kind}" for name, kind in more.items()])
-    found = rows.mapInArrow(function, schema)
+    found = arrow_map(rows, function, schema)
     return found.select(*[F.col(f"_{i}").alias(f.name) for i, f in enumerate(fields)], *more)
 
 

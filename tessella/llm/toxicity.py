@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import arrow_map
+
 SAMPLE, SAMPLE_CHARS = 2000, 100_000
 BUCKETS, DIM, GRAMS, HALF = 1 << 17, 8, (3, 4, 5, 6), 24
-STEPS, BATCH, RATE, SEED, CACHE, PART = 500, 64, 0.5, 7, 400_000, 1 << 14
+STEPS, BATCH, RATE, SEED, CACHE, PART = 500, 64, 0.5, 7, 150_000, 1 << 14
 MIN_DOCS, DROPPED, DECAY = 5, 0.5, 0.0005
 _STRIP = b".,;:!?\"'()[]{}"
 
@@ -241,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1, higher: likelier toxic) of each document."""
     kind = docs.select(doc_id).dtypes[0][1]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(scorer(model), f"doc_id {kind}, score double")
+    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), scorer(model), f"doc_id {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -250,5 +252,5 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
     # the scorer takes a leading column and the text, and passes on the rest
     rows = docs.select(F.lit(0).alias("_lead"), F.col(text).alias("_scored"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
     schema = "_lead int, " + ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + ", score double"
-    found = rows.mapInArrow(scorer(model), schema).where(F.col("score") < threshold)
+    found = arrow_map(rows, scorer(model), schema).where(F.col("score") < threshold)
     return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
