@@ -1,0 +1,317 @@
+"""Operators against plain Python on small tables, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import chat, exact, lines, links, mixing, ngram, pii, quality, sentencepiece, toxicity
+from tessella.llm.queries import ORACLES, PIECES, QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = {c: c + 32 for c in range(65, 91)}
+ODD = [None, "", " \n\t ", "a", "A b", "\n\n", "x\nx\n\nx ", "é 日 \x1c b", "word " * 4000, "z" * 50_000, "a b c d e f\na b c d e f", "🙂 " * 30]
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    """Documents, odd texts, near copies, exact copies and a repeated row; extra columns clash with names that operators use."""
+    random.seed(3)
+    base = [f"w{random.randrange(300)}" for _ in range(60)]
+    near = [" ".join(w if random.random() > 0.02 else f"x{random.randrange(9)}" for w in base) for _ in range(40)]
+    extra = [(100_000 + i, t) for i, t in enumerate([*ODD, *near, *near[:5]])] + [(100_020, near[8])]
+    both = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    return both.withColumns({"source": F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 5)), "score": F.lit("s"), "n": F.lit(1), "token": F.lit("t"), "size": F.lit(0), "count": F.lit(2), "ids": F.lit("i")}).cache()
+
+
+def shingles(text, k):
+    w = WORD.findall((text or "").translate(LOW))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
+def test_ngram_classes(docs, k, percent):
+    rows = dict(rows_of(docs))
+    sets, index, top = {i: shingles(t, k) for i, t in rows.items()}, collections.defaultdict(list), {i: i for i in rows}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in sorted(sets):
+        shared = collections.Counter(j for g in sets[i] for j in index[g])
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+        for g in sets[i]:
+            index[g].append(i)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram.classes(docs, k, percent).collect()}
+    assert found == {i: (len(sets[i]), root(i)) for i in rows}
+    kept = [r.doc_id for r in ngram.keep_one(docs, k, percent).select("doc_id").collect()]
+    assert sorted(kept) == sorted(i for i in rows if root(i) == i)
+
+
+def test_line_dedup(docs):
+    later, seen, index = collections.defaultdict(set), [], collections.defaultdict(list)
+    rows = sorted(set(rows_of(docs)), key=lambda r: r[0])
+    for i, t in rows:
+        for j, line in enumerate(t.split("\n") if t is not None else []):
+            if len(WORD.findall(line)) >= 5:
+                s = shingles(line, 5)
+                shared = collections.Counter(m for g in s for m in index[g])
+                if any(100 * n >= 80 * (len(s) + len(seen[m]) - n) for m, n in shared.items()):
+                    later[i].add(j)
+                for g in s:
+                    index[g].append(len(seen))
+                seen.append(s)
+    found = {r.doc_id: (r.n_lines, r.removed) for r in lines.decide(docs).collect()}
+    assert found == {i: (0 if t is None else t.count("\n") + 1, sorted(later[i])) for i, t in rows}
+    out = lines.dedup(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    texts = dict(rows)
+    assert all((r.text is None) == (texts[r.doc_id] is None) and (r.text or "") == "\n".join(x for j, x in enumerate((texts[r.doc_id] or "").split("\n")) if j not in later[r.doc_id]) for r in out.collect())
+
+
+def test_components(spark):
+    random.seed(1)
+    pairs = [(random.randrange(60), random.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        top[b] = a
+    found = {r.node: r.label for r in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(found.get(x, x) == root(x) for x in top)
+
+
+def test_quality_counts_and_verdict(docs):
+    def counts(t):
+        w, seen, again = WORD.findall(t or ""), set(), 0
+        for line in (t or "").split("\n"):
+            if WORD.search(line):
+                again += line in seen
+                seen.add(line)
+        five = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        hit = {j for i in range(len(w) - 4) if five[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), again, len(hit)
+
+    wanted, got = collections.Counter(), collections.Counter()
+    for i, t in rows_of(docs):
+        wanted[(i, *counts(t))] += 1
+    for r in quality.judge(docs).collect():
+        got[(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)] += 1
+        failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        assert r.base_failed == failed and not (failed and r.kept) and 0 <= r.posterior <= 1
+    assert got == wanted
+
+
+def test_quality_tells_junk(spark, sf_dir):
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/../sf0.1/labels.parquet").collect()}
+    rows = quality.judge(spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet")).collect()
+    open_ = [(r.kept, marks[r.doc_id]) for r in rows if r.doc_id in marks and not r.base_failed]
+    good, junk = [k for k, q in open_ if q], [k for k, q in open_ if not q]
+    assert sum(good) >= 0.98 * len(good) and sum(junk) <= 0.1 * len(junk)
+
+
+def test_exact_groups(docs):
+    groups = collections.defaultdict(list)
+    for i, t in rows_of(docs):
+        groups[hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()].append((-len(t or ""), i))
+    wanted = {(i, min(g)[1], len(g), h) for h, g in groups.items() for _, i in g}
+    rows = exact.duplicate_groups(docs, digest_all=True).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows} == wanted and len(rows) == docs.count()
+    assert exact.drop_exact_duplicates(docs).count() == len(groups)
+
+
+def test_mixing(docs):
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    rows = mixing.copies(docs).collect()
+    taken = collections.Counter()
+    for r in rows:
+        assert 0 <= r.copies <= 3 and r.source_size == sizes[r.source]
+        taken[r.source] += r.size * r.m * r.copies
+    names = sorted(sizes)
+    total, weight, capped = sum(sizes.values()), {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, set()
+    while True:
+        level = (total - sum(3 * sizes[s] for s in capped)) / sum(weight[s] for s in names if s not in capped)
+        more = {s for s in names if s not in capped and level * weight[s] > 3 * sizes[s]}
+        if not more:
+            break
+        capped |= more
+    goal = {s: 3 * sizes[s] if s in capped else level * weight[s] for s in names}
+    assert all(abs(r.target - goal[r.source]) < 1e-6 for r in rows)
+    largest = {s: max(r.size * r.m for r in rows if r.source == s) for s in names}
+    assert all(abs(taken[s] - goal[s]) <= largest[s] for s in names)
+    again = {(r.doc_id, r.source, r.size): r.copies for r in mixing.copies(docs.repartition(7)).collect()}
+    assert again == {(r.doc_id, r.source, r.size): r.copies for r in rows}
+    assert mixing.mix(docs).count() == sum(r.m * r.copies for r in rows) and mixing.mix(docs).columns == docs.columns
+
+
+def test_mixing_keeps_probabilities(spark):
+    """Over many ids of one size, the share rounded up is the fraction; the sum is kept to one document."""
+    rows = spark.range(3000).selectExpr("id as doc_id", "if(id < 1000, 'a', 'b') as source", "repeat('w ', cast(id % 7 + 1 as int)) as text")
+    found = mixing.copies(rows, weights=(1, 1)).toPandas()
+    for _, g in found.groupby("source"):
+        want = g.target.iloc[0] / g.source_size.iloc[0]
+        assert abs((g["size"] * g.copies).sum() - g.target.iloc[0]) <= 7
+        assert all(abs(h.copies.mean() - want) < 0.15 for _, h in g.groupby("size"))
+
+
+def base_spans(t):
+    t, out = t or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return ",".join(f"{pii.KINDS[k]}:{a}:{z}" for a, k, z in sorted(out))
+
+
+def test_pii_base(spark, docs):
+    random.seed(4)
+    made = ["".join(random.choice("ab@.+-() 0123456789é%_") for _ in range(80)) for _ in range(400)]
+    made += ["a@b.com_x@c.de é 1.2.3.4.5.6.7.8 000255.1.1.1 256.1.1.1", "4111 1111 1111 1111 +1 (579) 555-4136", "1" * 20_000, "a" * 20_000 + "@x.y", "a.b@c.d.e..f@g.h"]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(made)], "doc_id long, text string")).dropDuplicates(["doc_id"])
+    texts = dict(rows_of(rows))
+    found = {r.doc_id: r.v for r in pii.find(rows).select("doc_id", pii.joined(F.col("base")).alias("v")).collect()}
+    assert found == {i: base_spans(t) for i, t in texts.items()}
+
+
+def test_pii_added_kinds(spark):
+    rows = spark.createDataFrame([(1, "IBAN GB82 WEST 1234 5698 7654 32, GB82 WEST 1234 5698 7654 33"), (2, "my ssn 123-45-6789, part 123-45-6789" + " " * 60 + "no 123-45-6788"), (3, "call (579) 555-4136"), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: r.v for r in pii.find(rows).select("doc_id", pii.joined(F.col("spans")).alias("v")).collect()}
+    assert found == {1: "iban:5:32", 2: "ssn:7:18,ssn:25:36", 3: "local_phone:5:19", 4: ""}
+    assert {r.text for r in pii.mask(rows).where("doc_id in (1, 3)").collect()} == {"IBAN <iban>, GB82 WEST 1234 5698 7654 33", "call <local_phone>"}
+
+
+def test_chats_read_back(spark):
+    control = ["<|im_start|>", "<|im_end|>", "<|turn|>", "<|text|>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "\\", "<", "[", "é", "\n", "a"]
+    random.seed(6)
+    made = [(c, t, random.choice(["user", "assistant", "system", "<|x", None]), None if random.random() < 0.1 else "".join(random.choice(control) for _ in range(random.randrange(12)))) for c in range(40) for t in range(random.randrange(1, 9))]
+    rows = spark.createDataFrame([*made, made[0]], "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("x"))
+    wanted = collections.defaultdict(list)
+    for c, t, role, text in sorted([*made, made[0]], key=lambda r: (r[0], r[1], r[2] or "", r[3] or "")):
+        wanted[c].append((role or "", text or ""))
+    chats = chat.format_chats(rows)
+    for r in chats.select("*", chat.read_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        assert [tuple(x) for x in r.t] == wanted[r.conv_id]
+        assert r.loss == "".join(t for role, t in wanted[r.conv_id] if role == "assistant")
+        marks = re.findall(r"<\|(?:im_start|im_end|text|turn)\|>", r.formatted)
+        assert marks.count("<|im_start|>") == marks.count("<|text|>") == marks.count("<|im_end|>") and len(marks) - 3 * marks.count("<|text|>") == len(wanted[r.conv_id]) - marks.count("<|text|>")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_with_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    wanted = con.sql(ORACLES[name])
+    found = QUERIES[name](spark, sf_dir).select(*wanted.columns)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted.fetchall()))
+
+
+def test_pieces_equal_the_library(docs):
+    import sentencepiece as library
+
+    random.seed(8)
+    pieces, theirs = sentencepiece.load(PIECES), library.SentencePieceProcessor(model_file=PIECES)
+    texts = [t for _, t in rows_of(docs) if t is not None] + ["  a", "a  b ", "▁x y", "日本語 é 🙂\n\t", "a" * 500, "    " * 10 + "x", "<s> </s> <0x0A> <unk>", "\x00 b"]
+    texts += ["".join(random.choice("aabcdeinorst  .,-=*/(){}\"\n_01é") for _ in range(random.randrange(1, 60))) for _ in range(500)]
+    ids, n = sentencepiece.Encoder(pieces).encode(texts)
+    at = 0
+    for text, size in zip(texts, n, strict=True):
+        mine = ids[at : at + size]
+        at += size
+        assert mine.tolist() == theirs.encode(text), text[:80]
+        assert pieces.decode(mine) == theirs.decode(mine.tolist())
+
+
+def test_pieces_round_trip(docs):
+    pieces = sentencepiece.load(PIECES)
+    rows = sentencepiece.decode(sentencepiece.encode(docs.drop("ids"), pieces), pieces)
+    assert rows.where(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0 and rows.where("(text is null) <> (ids is null)").count() == 0
+    assert sentencepiece.encode(docs, pieces, decoded=True).where(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0
+
+
+def test_unigram_viterbi_finds_the_best_sum():
+    def field(number, data):
+        return bytes([number << 3 | 2, len(data)]) + data
+
+    import struct
+
+    scores = {"<unk>": 0.0, "▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -4.0, "aba": -6.5, "▁ab": -7.5}
+    model = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + bytes([2 if p == "<unk>" else 1])) for p, s in scores.items()) + field(2, b"\x18\x01") + field(3, b"\x18\x01\x20\x00")
+    pieces = sentencepiece.Pieces(model)
+
+    def best(text):
+        found = {0: 0.0}
+        for j in range(1, len(text) + 1):
+            found[j] = max(found[i] + scores[text[i:j]] for i in range(j) if text[i:j] in scores)
+        return found[len(text)]
+
+    for text in ("abab", "aaba", "bab", "ab ab"):
+        ids = sentencepiece.Encoder(pieces).encode([text])[0]
+        assert abs(sum(pieces.scores[i] for i in ids) - sum(best(w) for w in pieces.words(text))) < 1e-5 and pieces.decode(ids) == text
+
+
+def test_toxicity_learns_stems_and_misspellings():
+    random.seed(9)
+    word = lambda: "".join(random.choice(["er", "on", "th", "an", "le", "re"]) for _ in range(random.randrange(1, 4)))
+    stem = lambda: "zorgmu" + random.choice(["", "s", "ing", "en", "sk", "ter", "lo", "pax"])
+    texts, marks = [], []
+    for i in range(600):
+        w = [word() for _ in range(random.randrange(20, 400))]
+        if i % 5 == 0:
+            for _ in range(3):
+                w[random.randrange(len(w))] = stem()
+        texts.append(" ".join(w))
+        marks.append(int(i % 5 == 0))
+    model = toxicity.train(texts[:400], marks[:400])
+    import pyarrow as pa
+
+    score = lambda ts: next(toxicity.scorer(model)([pa.RecordBatch.from_arrays([pa.array(range(len(ts))), pa.array(ts)], ["doc_id", "text"])])).column(1).to_pylist()
+    s = score(texts[400:])
+    assert sum((a >= 0.3) == bool(b) for a, b in zip(s, marks[400:], strict=True)) >= 0.95 * 200
+    plain = [word() for _ in range(3000)]
+    low, high, blank, null = score([" ".join(plain), " ".join([*plain[:1500], "zorgmuqq", "zorgmuvia", *plain[1500:]]), "", None])
+    assert low < 0.3 <= high and blank == null < 0.5
+
+
+def test_toxicity_edges(spark, docs):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    one_class = toxicity.fit(docs, labels)
+    assert one_class.flat == 1.0 and toxicity.fit(docs, labels.limit(0)).flat == 0.0
+    assert toxicity.drop_toxic(docs, toxicity.fit(docs, labels.limit(0))).columns == docs.columns
+
+
+def test_empty_tables(spark, docs):
+    none, pieces = docs.limit(0), sentencepiece.load(PIECES)
+    flat = toxicity.Model(None, 0.0, 0.0)
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    for empty in (ngram.classes(none), lines.decide(none), quality.judge(none), exact.duplicate_groups(none), mixing.copies(none), mixing.mix(none), pii.find(none), sentencepiece.encode(none, pieces), toxicity.scored(none, flat), chat.format_chats(turns)):
+        assert empty.count() == 0
