@@ -117,6 +117,7 @@ def train(texts: list[str], labels: list[int], prior: float | None = None) -> Mo
     ids: dict[bytes, int] = {}
     docs = [np.array([ids.setdefault(w, len(ids)) for w in tokens(t)], np.int64) for t in texts]
     rows, at = subwords(list(ids))
+    del ids
     size = np.diff(rows)
     common = np.zeros(BUCKETS, np.int32)
     for d in docs:
@@ -134,8 +135,12 @@ def train(texts: list[str], labels: list[int], prior: float | None = None) -> Mo
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)  # classes weigh alike
 
     def word_scores() -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum((vectors @ (soft[:, 1] - soft[:, 0]))[at], dtype=np.float64)])
-        return (sums[rows[1:]] - sums[rows[:-1]]) / size
+        value, out = vectors @ (soft[:, 1] - soft[:, 0]), np.empty(len(size))
+        for i in range(0, len(size), PART):  # a part at a time: in all there are millions of n-grams
+            cut = rows[i : i + PART + 1]
+            sums = np.concatenate([[0], np.cumsum(value[at[cut[0] : cut[-1]]], dtype=np.float64)])
+            out[i : i + PART] = np.diff(sums[cut - cut[0]]) / size[i : i + PART]
+        return out
 
     order = np.empty(0, np.int64)
     for step in range(STEPS):
@@ -237,7 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
     rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in rows], [r.y for r in rows], counts[1] / total)
+    texts, marks = [r.text for r in rows], [r.y for r in rows]
+    del rows
+    return train(texts, marks, counts[1] / total)
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
