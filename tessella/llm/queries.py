@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, lines, mixing, ngram, pii, quality, sentencepiece, toxicity
+from . import chat, exact, lines, mixing, ngram, pii, quality, sentencepiece, toxicity, urls
 from .base import table
 
 #: Vocabulary of a public tokenizer.
@@ -20,6 +20,29 @@ def query(f):
     return f
 
 
+#: (entry, since, verdict) of a list that changed: what the tables do not hold. Hosts are the unwanted ones of `pages`.
+REVISIONS = [
+    ("casino-win.example.com", "2024-01-01 00:00:00", "block"), ("casino-win.example.com", "2024-01-11 00:00:00", None), ("casino-win.example.com", "2024-01-16 12:00:00", "block"),
+    ("*.cheap-pills.example.com", "2024-01-01 00:00:00", "block"), ("cheap-pills.example.com/de/", "2024-01-08 00:00:00", "allow"),
+    ("www.spam-farm.example.com", "2024-01-05 00:00:00", "block"), ("spam-farm.example.com", "2024-01-20 00:00:00", "block"),
+    ("http://free-bets.example.com/en", "2024-01-10 00:00:00", "block"), ("ads-track.example.com", "2024-01-25 00:00:00", "block"),
+]
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """(page_id, url, at): `pages` has no time of capture, so the URL's crc32 gives a second of the 30 days from 2024-01-01."""
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.crc32(F.col("url").cast("binary")) % (30 * 86_400))
+    return pages.select("page_id", "url", at.alias("at"))
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    revisions = spark.createDataFrame(REVISIONS, "entry string, since string, verdict string").withColumn("since", F.to_timestamp(F.concat("since", F.lit("+00:00"))))
+    rows = urls.judge(captures(table(spark, sf_dir, "pages")), revisions)
+    blocked = F.coalesce(F.col("rule.verdict") == "block", F.lit(False))
+    return rows.select("page_id", urls.host(F.col("url")).alias("host"), F.unix_seconds("at").alias("at"), F.col("rule.entry").alias("entry"), F.unix_seconds("rule.since").alias("since"), F.col("rule.verdict").alias("verdict"), (~blocked).alias("kept"))
+
+
 @query
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = "</s>[INST] ok [/INST]"
