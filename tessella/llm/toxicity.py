@@ -1,7 +1,8 @@
 """Toxicity: bags of subwords, embedded, averaged and put into a linear softmax; embeddings and softmax are trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams (hashed to BUCKETS), so unseen misspellings and inflections
-share vectors with words seen. A window of WINDOW words is the mean of its words; a text scores as its highest window, so
+share vectors with words seen. A word of more than LONG characters (a paragraph without spaces, a long URL) is taken as
+overlapping pieces of PIECE characters, each a word, so that all of its n-grams count. A window of WINDOW words is the mean of its words; a text scores as its highest window, so
 a long text is not averaged away. Training first fits whole texts, then each text's highest window.
 
 The model is linear in the mean, so for scoring a word is one number: words are scored once per task and looked up.
@@ -32,6 +33,7 @@ SAMPLE, SAMPLE_CHARS = 2000, 100_000
 BUCKETS, DIM, GRAMS, HALF = 1 << 17, 8, (3, 4, 5, 6), 24
 STEPS, BATCH, RATE, SEED, CACHE, PART = 500, 64, 0.5, 7, 150_000, 1 << 14
 MIN_DOCS, DROPPED, DECAY = 5, 0.5, 0.0005
+LONG, PIECE = 64, 16
 _STRIP = b".,;:!?\"'()[]{}"
 
 
@@ -48,7 +50,19 @@ class Model:
 
 
 def tokens(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "ignore").split()
+    words = text.lower().encode("utf-8", "ignore").split()
+    if not words or max(map(len, words)) <= LONG:
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) > LONG else (w,))]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A long word as pieces between blanks, which overlap so that each n-gram is whole in one."""
+    shown = (word.strip(_STRIP) or word).decode("utf-8", "ignore")
+    if len(shown) <= LONG:
+        return [word]
+    step = PIECE - max(GRAMS)
+    return [f" {shown[i : i + PIECE]} ".encode("utf-8", "ignore") for i in range(0, len(shown) - max(GRAMS), step)]
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +73,8 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    shown = [f"<{(w.strip(_STRIP) or w).decode('utf-8', 'ignore')[:64]}>" for w in words]
+    # a piece keeps its punctuation and has blanks in place of a word's borders
+    shown = [w.decode("utf-8", "ignore") if w[:1] == b" " else f"<{(w.strip(_STRIP) or w).decode('utf-8', 'ignore')}>" for w in words]
     size = np.array([len(w) for w in shown], np.int64)
     points = np.frombuffer("".join(shown).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(size)])

@@ -302,6 +302,34 @@ def test_toxicity_learns_stems_and_misspellings():
     assert low < 0.3 <= high and blank == null < 0.5
 
 
+@pytest.mark.parametrize("by", ["-", "_", "", "."])
+def test_toxicity_scores_long_words_whole(by):
+    import pyarrow as pa
+
+    random.seed(10)
+    word = lambda: "".join(random.choice(["er", "on", "th", "an", "le", "re"]) for _ in range(random.randrange(1, 4)))
+    texts = [[word() for _ in range(random.randrange(20, 200))] for _ in range(400)]
+    for t in texts[::4]:
+        for _ in range(3):
+            t[random.randrange(len(t))] = "zorgmu" + random.choice(["", "s", "ing", "en", "sk"])
+    model = toxicity.train([" ".join(t) for t in texts], [int(i % 4 == 0) for i in range(400)])
+    plain = [word() for _ in range(120)]
+    bad = [*plain[:60], "zorgmus", "zorgmuing", "zorgmu", *plain[60:]]
+    score = lambda ts: next(toxicity.scorer(model)([pa.RecordBatch.from_arrays([pa.array(range(len(ts))), pa.array(ts)], ["doc_id", "text"])])).column(1).to_pylist()
+    low, high, spaced = score([by.join(plain), by.join(bad), " ".join(bad)])
+    assert low < 0.3 <= high and spaced >= 0.3
+
+
+def test_toxicity_pieces_hold_every_gram():
+    random.seed(12)
+    for n in (65, 66, 70, 71, 80, 1000):
+        w = "".join(random.choice("ab.é日-") for _ in range(n)).strip(".") + "x" * 10
+        found = toxicity.tokens(w)
+        assert len(w) <= toxicity.LONG or all(any(w[i : i + k] in p.decode() for p in found) for k in toxicity.GRAMS for i in range(len(w) - k + 1))
+        assert max(len(p.decode()) for p in found) <= toxicity.LONG
+    assert toxicity.tokens("-" * 100 + " a " + "b" * 64) == [b" " + b"-" * 16 + b" "] * 9 + [b" " + b"-" * 10 + b" ", b"a", b"b" * 64]
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     one_class = toxicity.fit(docs, labels)
