@@ -83,6 +83,13 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_difference(rows.where("lang = 'fr'").drop("lang"), rows.where("lang = 'es'").drop("lang")).where("surplus > 2")
 
 
+@register("multiset_diff_all", r"""WITH t AS (SELECT lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS token FROM documents), b AS (SELECT token FROM t WHERE lang = 'fr'), a AS (SELECT token FROM t WHERE lang = 'es')
+SELECT token, count(*) AS surplus FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY token""")
+def multiset_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("lang", F.explode(tokens(F.col("text"))).alias("token"))
+    return multiset_difference(rows.where("lang = 'fr'").drop("lang"), rows.where("lang = 'es'").drop("lang"))
+
+
 @register("docs_preserved", r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents)
 SELECT b.doc_id, list_sort(b.w) = list_sort(a.w) AS docs_multiset_ok, b.w = a.w AS docs_layout_ok FROM t b JOIN t a ON a.doc_id = b.doc_id + 1""")
 def docs_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,11 @@ def rule_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
 
 
+@register("rule_histogram_all", r"SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '[ \t\n\v\f\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2")
+def rule_histogram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("test_share", "SELECT source, CAST(sum(n_chars) FILTER (WHERE lang = 'en') AS BIGINT) AS inside, CAST(sum(n_chars) AS BIGINT) AS total, coalesce(CAST(sum(n_chars) FILTER (WHERE lang = 'en') AS DOUBLE), 0) / sum(n_chars) AS share FROM documents GROUP BY source")
 def test_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.sum(F.when(F.col("lang") == "en", F.col("n_chars")))

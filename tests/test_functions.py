@@ -132,3 +132,23 @@ def test_streaming_equals_batch(spark, sf_dir):
 
     key = lambda rows: sorted((str(r.start)[:10], r.event_type, r.n, r.total) for r in rows.collect())
     assert key(windows.run_to_end(spark, sf_dir, "events")) == key(windows.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def test_maximal_sets_against_all_pairs(spark):
+    import random
+
+    random.seed(13)
+    made = {i: frozenset(random.sample(range(9), random.randrange(1, 7))) for i in range(300)}
+    made |= {1000: made[0], 1001: frozenset(range(100, 200)), 1002: frozenset(range(100, 199))}
+    rows = spark.createDataFrame([(i, x) for i, m in made.items() for x in m], "root long, member long")
+    found = sorted((r.root, r.size) for r in graph.maximal(rows).collect())
+    assert found == sorted((i, len(m)) for i, m in made.items() if not any(m < o or (m == o and j < i) for j, o in made.items()))
+
+
+def test_whole_queries_hold_what_the_cut_ones_leave_out(spark, sf_dir):
+    from tessella import catalog, plans  # noqa: F401
+
+    run = lambda name: catalog.QUERIES[name](spark, sf_dir)
+    assert run("maximal_sets_all").where("root % 5 <> 0").count() > 0
+    assert run("multiset_diff_all").where("surplus <= 2").count() > 0
+    assert run("rule_histogram_all").where("n < 20").count() > 0
