@@ -2,7 +2,9 @@
 
 Kinds in their listed order: email, ip, card, phone (the base kinds: every validated match stays), then iban, ssn and
 local_phone, which stay when their score reaches KEEP and no base span overlaps them. Matches are leftmost and
-non-overlapping within a kind; one that fails its validator is dropped and not retried. Expressions only: a text's matches
+non-overlapping within a kind; one that fails its validator is dropped and not retried. An iban's pattern gives its start
+only: its end is where the country's length, the whole run of groups or, for countries not listed, the longest run that
+ends at a border passes mod 97, so that words behind it are not taken in. Expressions only: a text's matches
 are located by splitting it with the pattern and adding up lengths in code points. The patterns have no nested
 backtracking: possessive quantifiers and look-behind keep them linear in the text.
 
@@ -23,7 +25,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
 }
@@ -43,6 +45,35 @@ SCORES = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.8, "ssn"
 BONUS, KEEP, NEAR = 0.2, 0.5, 48
 
 
+#: Characters of an account code by country.
+IBAN = {
+    n: countries.split()
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+
+
+def _accounts(heads: Column, text: Column) -> Column:
+    """Those of the heads (start, hit) that begin an account code, with the code as hit; leftmost, non-overlapping."""
+
+    def code(m: Column) -> Column:
+        seen = F.substring(text, m["start"] + 1, 68)  # 34 characters with a blank before each but the first, and the one after
+        known = F.coalesce(*[F.when(F.substring(m["hit"], 1, 2).isin(c), n) for n, c in IBAN.items()], F.lit(0))
+        runs = F.filter(F.array(*[F.regexp_extract(seen, rf"^[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])", 0) for n in range(34, 14, -1)]), lambda r: r != "")
+        size = lambda r: F.length(F.replace(r, F.lit(" "), F.lit("")))
+        whole = F.regexp_extract(seen, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0)
+        able = F.concat(F.filter(runs, lambda r: size(r) == known), F.filter(runs, lambda r: (size(r) != known) & ((known == 0) | (r == whole))))
+        return F.struct(m["start"].alias("start"), F.get(F.filter(able, lambda r: mod97(F.replace(r, F.lit(" "), F.lit("")))), F.lit(0)).alias("hit"))
+
+    found = F.filter(F.transform(heads, code), lambda m: m["hit"].isNotNull())
+    start = F.expr("struct(0 as at, cast(array() as array<struct<start:int,hit:string>>) as found)")
+    add = lambda a, m: F.when(m["start"] < a["at"], a).otherwise(F.struct((m["start"] + F.length(m["hit"])).alias("at"), F.concat(a["found"], F.array(m)).alias("found")))
+    return F.aggregate(found, start, add, lambda a: a["found"])
+
+
 def _matches(text: Column, kind: str) -> Column:
     """Array of (start, hit); start in code points."""
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("hit"))
@@ -84,8 +115,6 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.length(digits).between(12, 19) & luhn(digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        return mod97(F.regexp_replace(hit, " ", ""))
     if kind == "ssn":
         return ~hit.rlike("^(?:000|666|9..)|-00-|-0000$")
     return F.lit(True)
@@ -101,7 +130,8 @@ def _found(text: Column, kind: str) -> Column:
         near = F.lower(F.substring(text, begin + 1, end - begin + NEAR)).rlike(CONTEXT[kind])
         return F.struct(F.lit(KINDS.index(kind)).alias("rank"), start.alias("start"), end.alias("end"), F.when(near, SCORES[kind] + BONUS).otherwise(F.lit(SCORES[kind])).alias("score"))
 
-    found = F.transform(F.filter(_matches(text, kind), lambda m: _valid(kind, m["hit"])), scored)
+    matches = _accounts(_matches(text, kind), text) if kind == "iban" else _matches(text, kind)
+    found = F.transform(F.filter(matches, lambda m: _valid(kind, m["hit"])), scored)
     if kind not in BASE:
         found = F.filter(found, lambda s: s["score"] >= KEEP)
     able = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)

@@ -207,6 +207,14 @@ def test_pii_added_kinds(spark):
     assert {r.text for r in pii.mask(rows).where("doc_id in (1, 3)").collect()} == {"IBAN <iban>, GB82 WEST 1234 5698 7654 33", "call <local_phone>"}
 
 
+def test_pii_ibans_end_before_words(spark):
+    a, b, odd = "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "XX" + str(98 - int("1234567890123456" + "333300") % 97).zfill(2) + " 1234 5678 9012 3456"
+    texts = [f"{a} Please pay", f"{b} BIC ABCD", f"{a} {b}", f"{a} DE89 3704 0044 0532 0130 00 X", f"{odd} Thanks", f"{odd}", f"{a}a", f"GB82 WEST 1234 5698 7654 33 BIC", f"é🙂 {a} 7"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.v for r in pii.find(rows).select("doc_id", pii.joined(F.filter("spans", lambda s: s["rank"] == 4)).alias("v")).collect()}
+    assert found == {0: "iban:0:27", 1: "iban:0:22", 2: "iban:0:27,iban:28:50", 3: "iban:0:27,iban:28:55", 4: "iban:0:24", 5: "iban:0:24", 6: "", 7: "", 8: "iban:3:30"}
+
+
 def test_chats_read_back(spark):
     control = ["<|im_start|>", "<|im_end|>", "<|turn|>", "<|text|>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "\\", "<", "[", "é", "\n", "a"]
     random.seed(6)
