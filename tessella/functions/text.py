@@ -39,7 +39,7 @@ def c_like_lines(text: Column, marker: str = "//") -> Column:
 
     def step(a: Column, line: Column) -> Column:
         s = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-        closes = F.when(a["inside"], F.contains(s, F.lit("*/"))).otherwise(F.contains(F.substring(s, 3, 1_000_000), F.lit("*/")))
+        closes = F.when(a["inside"], F.contains(s, F.lit("*/"))).otherwise(F.contains(F.substring(s, F.lit(3), F.length(s)), F.lit("*/")))
         rest = F.regexp_replace(F.regexp_replace(s, r"(?s)^.*?\*/", ""), r"^[\x20\x09-\x0D]+", "")
         opens = ~a["inside"] & F.startswith(s, F.lit("/*")) & ~F.startswith(s, F.lit(marker))
         block = a["inside"] | opens
@@ -78,7 +78,7 @@ def slug(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """First letter of every white-space separated word in upper case, the rest in lower case; white space stays."""
     gaps = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.array_join(F.transform(gaps, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(gaps, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
 
 
 def longest_line(text: Column) -> Column:

@@ -77,6 +77,25 @@ def loc_c_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("code", "comment", "blank")])
 
 
+C_LINE = "trim(x.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@register("loc_c_like_all", f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda y: {{'line': y, 'inside': false, 'code': 0, 'comment': 0, 'blank': 0}}) AS l FROM documents),
+p AS (SELECT doc_id, list_transform(l, lambda x: {{'line': {C_LINE}, 'inside': x.inside, 'code': x.code, 'comment': x.comment, 'blank': x.blank}}) AS l FROM l),
+r AS (SELECT doc_id, list_reduce(list_prepend({{'line': '', 'inside': false, 'code': 0, 'comment': 0, 'blank': 0}}, l), lambda a, x: CASE
+ WHEN x.line = '' THEN {{'line': '', 'inside': a.inside, 'code': a.code, 'comment': a.comment, 'blank': a.blank + 1}}
+ WHEN a.inside OR starts_with(x.line, '/*') THEN CASE
+  WHEN NOT contains(CASE WHEN a.inside THEN x.line ELSE substr(x.line, 3) END, '*/') THEN {{'line': '', 'inside': true, 'code': a.code, 'comment': a.comment + 1, 'blank': a.blank}}
+  WHEN substr(x.line, strpos(x.line, '*/') + 2) = '' THEN {{'line': '', 'inside': false, 'code': a.code, 'comment': a.comment + 1, 'blank': a.blank}}
+  ELSE {{'line': '', 'inside': false, 'code': a.code + 1, 'comment': a.comment, 'blank': a.blank}} END
+ WHEN starts_with(x.line, '//') THEN {{'line': '', 'inside': false, 'code': a.code, 'comment': a.comment + 1, 'blank': a.blank}}
+ ELSE {{'line': '', 'inside': false, 'code': a.code + 1, 'comment': a.comment, 'blank': a.blank}} END) AS r FROM p)
+SELECT doc_id, CAST(r.code AS BIGINT) AS code, CAST(r.comment AS BIGINT) AS comment, CAST(r.blank AS BIGINT) AS blank FROM r""")
+def loc_c_like_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", t.c_like_lines(F.col("text")).alias("c"))
+    return rows.select("doc_id", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("code", "comment", "blank")])
+
+
 @register("mask_roundtrip", "SELECT page_id, len(regexp_extract_all(html, '<p>[^<]*</p>')) AS masked, true AS restored FROM pages")
 def mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = masking.mask(table(spark, sf_dir, "pages"), "html", "<p>[^<]*</p>")

@@ -152,3 +152,22 @@ def test_whole_queries_hold_what_the_cut_ones_leave_out(spark, sf_dir):
     assert run("maximal_sets_all").where("root % 5 <> 0").count() > 0
     assert run("multiset_diff_all").where("surplus <= 2").count() > 0
     assert run("rule_histogram_all").where("n < 20").count() > 0
+
+
+def test_block_comments_are_counted(spark, tmp_path):
+    import duckdb
+
+    from tessella import catalog, plans  # noqa: F401
+
+    far = "/* " + "x" * 1_000_010 + " */\nend"
+    texts = ["// a\n\nx; /* y\n/* b\nc */ d;\n/* e */ f;\n/* g */\nend\n", far, "/* a\n\n// b\n */\nx", "plain", "/*\nno end\n\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(tuple(r) for r in catalog.QUERIES["loc_c_like_all"](spark, str(tmp_path)).collect())
+    assert found == [(0, 4, 3, 2), (1, 1, 1, 0), (2, 1, 3, 1), (3, 1, 0, 0), (4, 0, 2, 2)]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(catalog.ORACLES["loc_c_like_all"]).fetchall()) == found
+
+
+def test_long_words_keep_their_end(spark):
+    assert spark.range(1).select(F.length(t.title_case(F.repeat(s("a"), 1_000_005)))).first()[0] == 1_000_005
