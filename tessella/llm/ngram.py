@@ -14,12 +14,15 @@ the members of other components, so a group of thousands of near copies costs a
 large is refined: members meet only if they share a token of their second prefix too. This loses no link between different
 components: every similar pair shares a rare-prefix token and either is in one component already or has a member outside.
 
-Texts are re-read for verification; a bitmap of fixed size (BITS bits of hashed ids) skips most others. It only saves
-work: what it lets through wrongly meets no pair.
+Texts are re-read for verification. A bitmap of hashed ids, at least PER_ID bits an id and at most 2^MOST bits, skips most
+others; for more ids than that the texts are joined with the ids. It only saves work: what it lets through wrongly meets
+no pair. Intermediate tables are deleted when the result is written.
 
 Defined results: a text of fewer than k words has its whole sequence as only token; null, empty and blank texts have an
-empty set and are linked with nothing; repeated rows are copies; rows whose doc_id is null have a null component; an empty
-table gives an empty result; other columns are ignored; texts are read whole.
+empty set and are linked with nothing; repeated rows are copies; a doc_id that stands for several texts is that many
+documents, each told by id and hash of its text; rows whose doc_id is null have a null component, and keep_one keeps them
+once per different text; an empty table gives an empty result; other columns are ignored, or kept by keep_one, whatever
+they are called; texts are read whole.
 """
 
 from __future__ import annotations
@@ -34,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, settle
+from .base import arrow_map, scratch, settle, unused
 from .lanes import U, chunks, mix, ordered
 from .links import components
 
-#: Counted buckets of tokens; bits of the bitmap; members above which a group is refined; parity bits of a set.
-BUCKETS, BITS, LARGE, PARITY = 1 << 20, 1 << 23, 1024, 512
+#: Counted buckets of tokens; members above which a group is refined; parity bits of a set.
+BUCKETS, LARGE, PARITY = 1 << 20, 1024, 512
+#: Bits of the bitmap: as many an id, and the most and least in all, as powers of two (2^27 bits are 16 MB).
+PER_ID, MOST, LEAST = 4, 27, 16
 SHIFT, SLICE, FAN = U(64 - BUCKETS.bit_length() + 1), 1 << 12, 64
 _SEEDS = [U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0), U(0x082EFA98EC4E6C89)]
 
@@ -76,10 +81,10 @@ def _rarity(summary: DataFrame) -> np.ndarray:
 
 
 def _summary(k: int):
-    """Rows (doc_id, n, sig_a, sig_b) of documents, and for each task rows (n: number of a slice of buckets, counts: packed) of how many tokens fell in them."""
+    """Rows (doc_id, h, n, sig_a, sig_b) of documents, and for each task rows (n: number of a slice of buckets, counts: packed) of how many tokens fell in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, names = np.zeros(BUCKETS, np.int64), ["is_doc", "doc_id", "n", "sig_a", "sig_b", "counts"]
+        seen, names = np.zeros(BUCKETS, np.int64), ["is_doc", "doc_id", "h", "n", "sig_a", "sig_b", "counts"]
         kind = None
         for batch in batches:
             kind = batch.column(0).type
@@ -93,11 +98,11 @@ def _summary(k: int):
                 for i in range(2):
                     if len(full):
                         sums[i, begin + full] = np.add.reduceat(mix(token ^ _SEEDS[i]), first[full])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(size), bool)), batch.column(0), pa.array(size), *[pa.array(x.view(np.int64)) for x in sums], pa.nulls(len(size), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(size), bool)), batch.column(0), batch.column(2), pa.array(size), *[pa.array(x.view(np.int64)) for x in sums], pa.nulls(len(size), pa.binary())], names)
         if kind is not None:
             slices, task = BUCKETS // SLICE, int.from_bytes(os.urandom(4))
             packed = [_pack(x) for x in seen.reshape(slices, SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(slices, bool)), pa.nulls(slices, kind), pa.array(np.arange(slices)), pa.array(np.full(slices, task)), pa.nulls(slices, pa.int64()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(slices, bool)), pa.nulls(slices, kind), pa.nulls(slices, pa.int64()), pa.array(np.arange(slices)), pa.array(np.full(slices, task)), pa.nulls(slices, pa.int64()), pa.array(packed, pa.binary())], names)
 
     return run
 
@@ -143,11 +148,38 @@ def _prefixes(k: int, percent: int, rarity: np.ndarray):
     return run
 
 
-def _sets(k: int, bitmap: np.ndarray):
+def marked(ids: DataFrame) -> np.ndarray | None:
+    """Bitmap of the hashes of ids (one column); null if there are too many for one."""
+    n = ids.count()
+    if n * PER_ID > 1 << MOST:
+        return None
+    bits = 1 << max(LEAST, min(MOST, (16 * n).bit_length()))
+    bit = ids.select(F.xxhash64(ids.columns[0]).bitwiseAND(bits - 1).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).toArrow()
+    bitmap = np.zeros(bits // 64, U)
+    bitmap[np.asarray(words["at"])] = np.asarray(words["word"]).view(U)
+    return bitmap
+
+
+def hit(bitmap: np.ndarray, hashes: pa.Array) -> pa.Array:
+    """Which of the hashes are marked in a bitmap."""
+    bit = np.asarray(hashes).astype(np.int64) & (len(bitmap) * 64 - 1)
+    return pa.array((bitmap[bit >> 6] >> (bit & 63).astype(U)) & U(1) == 1)
+
+
+def reread(texts: DataFrame, ids: DataFrame, function, schema: str) -> DataFrame:
+    """function of texts (id, text), by way of Arrow, for the rows whose id is in ids, and perhaps others; function takes a bitmap or null."""
+    name, bitmap = texts.columns[0], marked(ids)
+    if bitmap is None:
+        texts = texts.join(ids.toDF(name), name, "left_semi")
+    return arrow_map(texts.withColumn("hashed", F.xxhash64(name)), function(bitmap), schema)
+
+
+def _sets(k: int, bitmap: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.asarray(batch.column(2)).astype(np.int64) & (BITS - 1)
-            batch = batch.filter(pa.array((bitmap[bit >> 6] >> (bit & 63).astype(U)) & U(1) == 1))
+            if bitmap is not None:
+                batch = batch.filter(hit(bitmap, batch.column(2)))
             values, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for _, w in chunks(batch.column(1), lower=True):
                 doc, token = w.shingles(k)
@@ -177,14 +209,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, k: int, pe
         missing = lambda x, y, p=p, low=low: F.get(F.transform(low, lambda end: F.size(F.filter(F.array_except(f"{p}{x}", f"{p}{y}"), lambda v: v < end))), F.lit(0))
         near = near.where(F.arrays_overlap(f"{p}a", f"{p}b")).where(missing("a", "b") <= F.col("na") - need).where(missing("b", "a") <= F.col("nb") - need)
     near = settle(near.select("a", "b").distinct(), "ngram-near")
-    bit = F.xxhash64("doc_id").bitwiseAND(BITS - 1)
-    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id")))
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).collect()
-    bitmap = np.zeros(BITS // 64, U)
-    for r in words:
-        bitmap[r.at] = np.int64(r.word).view(U)
-    texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = settle(arrow_map(texts, _sets(k, bitmap), f"doc_id {kind}, tokens array<bigint>"), "ngram-sets").dropDuplicates(["doc_id"])
+    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+    sets = reread(docs, settle(ids, "ngram-ids"), lambda bitmap: _sets(k, bitmap), f"doc_id {kind}, tokens array<bigint>")
+    sets = settle(sets, "ngram-sets").dropDuplicates(["doc_id"])
     named = lambda x: sets.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     return settle(near.join(named("a"), "a").join(named("b"), "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "ngram-links")
@@ -196,27 +223,33 @@ def _able(n: Column, pos: Column, m: Column, other: Column, percent: int) -> Col
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of percent or more)."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """docs (doc_id, text) to a row per document: doc_id, h (hash of the text), n_shingles, component_id, gone (it is not the first of its component)."""
+    docs = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     kind = docs.dtypes[0][1]
-    summary = settle(arrow_map(docs, _summary(k), f"is_doc boolean, doc_id {kind}, n long, sig_a long, sig_b long, counts binary"), "ngram-summary")
+    summary = settle(arrow_map(docs, _summary(k), f"is_doc boolean, doc_id {kind}, h long, n long, sig_a long, sig_b long, counts binary"), "ngram-summary")
     rarity = _rarity(summary)
 
-    rows = summary.where("is_doc").select("doc_id", "n", "sig_a", "sig_b")
+    rows = summary.where("is_doc").select("doc_id", "h", "n", "sig_a", "sig_b")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z")
+    repeated = not several.isEmpty()
+    # a node is an id, or an id and a hash where ids stand for several texts
+    node = F.struct("doc_id", "h") if repeated else F.col("doc_id")
+    rows, texts = rows.withColumn("own", F.when(F.col("doc_id").isNotNull(), node)), docs.where("doc_id is not null").select(node.alias("doc_id"), "text")
+    kind = texts.dtypes[0][1]
     key = ["sig_a", "sig_b", "n"]
-    copies = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    grouped = settle(rows.where("n > 0").join(copies, key, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "ngram-classes")
-    gone = grouped.where("doc_id <> rep").select("doc_id")
-    prefixes = arrow_map(docs, _prefixes(k, percent, rarity), f"doc_id {kind}, n long, p1 array<bigint>, p2 array<int>, p3 array<int>, bits array<bigint>")
-    prefixes = settle(prefixes.where("n > 0 and doc_id is not null").join(gone, "doc_id", "left_anti"), "ngram-prefixes")
+    copies = rows.where("n > 0").groupBy(*key).agg(F.min("own").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    grouped = settle(rows.where("n > 0").join(copies, key, "left").select("doc_id", "h", "n", "own", F.coalesce("rep", "own").alias("rep")), "ngram-classes")
+    gone = grouped.where("own <> rep").select(F.col("own").alias("doc_id"))
+    prefixes = arrow_map(texts, _prefixes(k, percent, rarity), f"doc_id {kind}, n long, p1 array<bigint>, p2 array<int>, p3 array<int>, bits array<bigint>")
+    prefixes = settle(prefixes.where("n > 0").join(gone, "doc_id", "left_anti"), "ngram-prefixes")
 
     listed = prefixes.select("doc_id", "n", F.posexplode("p1").alias("pos", "token")).select("token", "doc_id", F.struct("doc_id", "n", "pos").alias("m"))
     groups = listed.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("lead")).where("c > 1")
     member = settle(listed.join(groups, "token").select("token", "c", "lead", "m"), "ngram-members")
     m, lead = F.col("m"), F.col("lead")
     first = member.where((m.doc_id != lead.doc_id) & _able(m.n, m.pos, lead.n, lead.pos, percent)).select(lead.doc_id.alias("a"), m.doc_id.alias("b")).distinct()
-    links = _verified(docs, first, prefixes, k, percent, kind)
+    links = _verified(texts, first, prefixes, k, percent, kind)
     labels = components(links)
 
     owner = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
@@ -232,14 +265,30 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     o = F.col("o")
     able = (F.col("own") != F.col("odd_own")) & _able(m.n, m.pos, o.n, o.pos, percent) & _even(m.n, F.col("bits"), o.n, F.col("odd_bits"), percent)
     pairs = odd.join(member, ["token", "second"]).where(able).select(F.least(m.doc_id, o.doc_id).alias("a"), F.greatest(m.doc_id, o.doc_id).alias("b")).distinct()
-    more = _verified(docs, settle(pairs, "ngram-pairs"), prefixes, k, percent, kind)
+    more = _verified(texts, settle(pairs, "ngram-pairs"), prefixes, k, percent, kind)
     labels = components(links.unionByName(more))
 
-    found = grouped.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
-    return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = grouped.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "own", F.when(F.col("own").isNotNull(), F.coalesce("label", "rep")).alias("label"))
+    found = found.unionByName(rows.where("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), "own", F.col("own").alias("label")))
+    component = F.col("label.doc_id" if repeated else "label")
+    return found.select("doc_id", "h", "n_shingles", component.alias("component_id"), (F.col("own") != F.col("label")).alias("gone"))
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of percent or more)."""
+    with scratch():
+        rows = _classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, percent)
+        return settle(rows.select("doc_id", "n_shingles", "component_id"), "ngram-found", keep=True)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of which no similar document has a smaller doc_id in its component; rows that repeat a kept doc_id stay once per different text."""
-    gone = classes(docs, k, percent, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").dropDuplicates([doc_id, text])
+    """The documents of which no similar document has a smaller doc_id in its component; rows that repeat doc_id and text stay once."""
+    name, h = unused(docs, "name", "h")
+    with scratch():
+        rows = _classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, percent)
+        rows = settle(rows.select(F.col("doc_id").alias(name), F.col("h").alias(h), "gone"), "ngram-kept", keep=True)
+    gone = rows.where("gone").select(name, h).distinct()
+    found = docs.withColumns({name: F.col(doc_id), h: F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).join(gone, [name, h], "left_anti")
+    if not rows.where("gone is null or not gone").groupBy(name, h).count().where("count > 1").isEmpty():
+        found = found.dropDuplicates([name, h])
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
