@@ -6,16 +6,21 @@ n - ceil(t n) + 1 of each; pairs that do, and pass the positional and length fil
 are verified on all their tokens. A line is removed if any earlier line (by doc_id, then line number) is similar or equal,
 whether that one stays or not. So what stays does not depend on the order of the work.
 
-Lines of equal sets are one line to the join, known by a hash of the set, with the earliest as its place. One earlier match
-is enough, so no group lists its pairs: in each group that shares a token every line first meets the group's earliest;
-only lines that this leaves unmatched meet the earlier others. Documents of verified pairs are re-read; a bitmap of fixed size skips most others.
+Lines of equal sets are one line to the join, known by two hashes of the set and its size, with the earliest as its place
+(doc_id, hash of the text, line number). One earlier match is enough, so no group lists its pairs: in each group that
+shares a token every line first meets the group's earliest; only lines that this leaves unmatched meet the earlier others.
+Documents of verified pairs are re-read; a bitmap skips most others, or a join where there are too many for one.
+Intermediate tables are deleted when the result is written.
 
 Words are hashed and windows ordered in numpy, batch by batch; joins and decisions are DataFrame operations. A form in
 DataFrame operations alone came first; README.md has its figures.
 
-Defined results: lines are what line feeds separate; lines of fewer than min_words words always stay; null texts have no
-lines that could go and stay null; rows that repeat doc_id count as one document whose equal lines are the same line; rows
-whose doc_id is null stay as they are; an empty table gives an empty result; other columns are kept; texts are read whole.
+Defined results: lines are what line feeds separate; a line of fewer than k words has its whole sequence as only token, so
+it goes where an earlier line is equal; lines of fewer than min_words words, blank ones among them, stay; null texts have
+no lines that could go and stay null; rows that repeat doc_id and text count as one document whose equal lines are the
+same line; a doc_id that stands for several texts is that many documents, in order of the texts' hashes, and one row of
+decide; rows whose doc_id is null stay as they are; an empty table gives an empty result; other columns are kept, whatever
+they are called; texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, settle
+from .base import arrow_map, scratch, settle, unused
 from .lanes import U, Words, chunks, distinct, mix, ordered
-from .ngram import _SEEDS, BITS, BUCKETS, SHIFT, SLICE, _able, _by_doc, _even, _least, _lists, _pack, _rarity
+from .ngram import _SEEDS, BUCKETS, SHIFT, SLICE, _able, _by_doc, _even, _least, _lists, _pack, _rarity, hit, reread
 
 PARITY, REMEMBERED = 256, 500_000
 
@@ -66,8 +71,8 @@ class Lines:
 
 
 def _summary(k: int, min_words: int):
-    """Rows of lines (doc_id, line, n, sig_a, sig_b), and for each task packed counts of its tokens by bucket (n: slice of buckets)."""
-    names = ["is_doc", "doc_id", "line", "n", "sig_a", "sig_b", "counts"]
+    """Rows of lines (doc_id, h, line, n, sig_a, sig_b), and for each task packed counts of its tokens by bucket (n: slice of buckets)."""
+    names = ["is_doc", "doc_id", "h", "line", "n", "sig_a", "sig_b", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, kind = np.zeros(BUCKETS, np.int64), None
@@ -76,21 +81,21 @@ def _summary(k: int, min_words: int):
             for begin, w in chunks(batch.column(1), lower=True):
                 x = Lines(w, k, min_words)
                 seen += np.bincount((x.token >> SHIFT).astype(np.int64), minlength=BUCKETS)
-                ids = batch.column(0).take(pa.array(x.doc + begin))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x.n), bool)), ids, pa.array(x.line.astype(np.int32)), pa.array(x.n), pa.array(x.signature(0)), pa.array(x.signature(1)), pa.nulls(len(x.n), pa.binary())], names)
+                ids = [batch.column(i).take(pa.array(x.doc + begin)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x.n), bool)), *ids, pa.array(x.line.astype(np.int32)), pa.array(x.n), pa.array(x.signature(0)), pa.array(x.signature(1)), pa.nulls(len(x.n), pa.binary())], names)
         if kind is not None:
             slices, task = BUCKETS // SLICE, int.from_bytes(os.urandom(4))
             packed = [_pack(x) for x in seen.reshape(slices, SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(slices, bool)), pa.nulls(slices, kind), pa.nulls(slices, pa.int32()), pa.array(np.arange(slices)), pa.array(np.full(slices, task)), pa.nulls(slices, pa.int64()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(slices, bool)), pa.nulls(slices, kind), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.array(np.arange(slices)), pa.array(np.full(slices, task)), pa.nulls(slices, pa.int64()), pa.array(packed, pa.binary())], names)
 
     return run
 
 
 def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
-    """Rows (sig_a, n, p1: first tokens by rarity, bits) of lines; a task gives a line that it remembers once."""
+    """Rows (sig_a, sig_b, n, p1: first tokens by rarity, bits) of lines; a task gives a line that it remembers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, w in chunks(batch.column(0), lower=True):
                 x = Lines(w, k, min_words)
@@ -100,94 +105,109 @@ def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
                 bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 p1 = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(values))
                 fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(x.n) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(bits))
-                sig = x.signature(0)
-                new = np.array([not (s in seen or seen.add(s)) for s in sig.tolist()], bool)
+                sig, other = x.signature(0), x.signature(1)
+                new = np.array([not (s in seen or seen.add(s)) for s in zip(sig.tolist(), other.tolist(), strict=True)], bool)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(x.n), p1, fixed], ["sig_a", "n", "p1", "bits"]).filter(pa.array(new))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(other), pa.array(x.n), p1, fixed], ["sig_a", "sig_b", "n", "p1", "bits"]).filter(pa.array(new))
 
     return run
 
 
-def _sets(k: int, min_words: int, bitmap: np.ndarray):
-    """Rows (doc_id, line, tokens) of the lines of documents whose bit is set."""
+def _sets(k: int, min_words: int, bitmap: np.ndarray | None):
+    """Rows (id, line, tokens) of the lines of documents that the bitmap marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.asarray(batch.column(2)).astype(np.int64) & (BITS - 1)
-            batch = batch.filter(pa.array((bitmap[bit >> 6] >> (bit & 63).astype(U)) & U(1) == 1))
+            if bitmap is not None:
+                batch = batch.filter(hit(bitmap, batch.column(2)))
             for begin, w in chunks(batch.column(1), lower=True):
                 x = Lines(w, k, min_words)
                 tokens = pa.ListArray.from_arrays(pa.array(x.first.astype(np.int32)), pa.array(x.token.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.doc + begin)), pa.array(x.line.astype(np.int32)), tokens], ["doc_id", "line", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.doc + begin)), pa.array(x.line.astype(np.int32)), tokens], ["id", "line", "tokens"])
 
     return run
 
 
+#: What tells the sets of lines apart.
+KEY = ["sig_a", "sig_b", "n"]
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, min_words: int, kind: str) -> DataFrame:
-    """sig_a of the later lines of those pairs (sig_a, x, y), x and y places of lines, whose sets are similar."""
+    """KEY of the later lines of those pairs (KEY, x, y), x and y places of lines, whose sets are similar."""
     pairs = settle(pairs.distinct(), "lines-pairs")
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("e")).select("e.doc_id", "e.line").distinct()
-    words = ends.select(F.xxhash64("doc_id").bitwiseAND(BITS - 1).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).collect()
-    bitmap = np.zeros(BITS // 64, U)
-    for r in words:
-        bitmap[r.at] = np.int64(r.word).view(U)
-    sets = arrow_map(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), _sets(k, min_words, bitmap), f"doc_id {kind}, line int, tokens array<bigint>")
-    sets = settle(sets.join(ends, ["doc_id", "line"], "left_semi").dropDuplicates(["doc_id", "line"]), "lines-sets")
-    side = lambda c: sets.select(F.struct("doc_id", "line").alias(c), F.col("tokens").alias(f"s{c}"))
+    ends = settle(pairs.select(F.explode(F.array("x", "y")).alias("e")).select(F.struct("e.doc_id", "e.h").alias("id"), "e.line").distinct(), "lines-ends")
+    sets = reread(docs.select(F.struct("doc_id", "h").alias("id"), "text"), ends.select("id").distinct(), lambda bitmap: _sets(k, min_words, bitmap), f"id struct<doc_id:{kind},h:bigint>, line int, tokens array<bigint>")
+    sets = settle(sets.join(ends, ["id", "line"], "left_semi").dropDuplicates(["id", "line"]), "lines-sets")
+    side = lambda c: sets.select(F.struct("id.doc_id", "id.h", "line").alias(c), F.col("tokens").alias(f"s{c}"))
     both = F.size(F.array_intersect("sx", "sy"))
     found = pairs.join(side("x"), "x").join(side("y"), "y").where(100 * both >= percent * (F.size("sx") + F.size("sy") - both))
-    return settle(found.select("sig_a").distinct(), "lines-late")
+    return settle(found.select(*KEY).distinct(), "lines-late")
 
 
-def decide(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per doc_id: doc_id, n_lines, removed (numbers of its lines that go, from 0, in order)."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame:
+    """docs (doc_id, text, h) to (doc_id, h, removed): numbers of the lines that go, of documents that lose any."""
     kind = docs.dtypes[0][1]
     known = docs.where("doc_id is not null")
-    summary = settle(arrow_map(known, _summary(k, min_words), f"is_doc boolean, doc_id {kind}, line int, n long, sig_a long, sig_b long, counts binary"), "lines-summary")
+    summary = settle(arrow_map(known, _summary(k, min_words), f"is_doc boolean, doc_id {kind}, h long, line int, n long, sig_a long, sig_b long, counts binary"), "lines-summary")
     rarity = _rarity(summary)
-    rows = summary.where("is_doc").select("doc_id", "line", "n", "sig_a", "sig_b")
-    key = ["sig_a", "sig_b", "n"]
-    first = settle(rows.groupBy(*key).agg(F.min(F.struct("doc_id", "line")).alias("e")), "lines-first")
+    rows = summary.where("is_doc").select("doc_id", "h", "line", *KEY)
+    first = settle(rows.groupBy(*KEY).agg(F.min(F.struct("doc_id", "h", "line")).alias("e")), "lines-first")
 
-    prefixes = settle(arrow_map(known.select("text"), _prefixes(k, percent, min_words, rarity), "sig_a long, n long, p1 array<bigint>, bits array<bigint>"), "lines-prefixes")
-    listed = prefixes.select("sig_a", F.col("n").cast("int").alias("n"), F.posexplode("p1").alias("pos", "token"))
-    # a token with one signature has one line; one shuffle serves to find the others, and a line is listed once a task at most
+    prefixes = settle(arrow_map(known.select("text"), _prefixes(k, percent, min_words, rarity), "sig_a long, sig_b long, n long, p1 array<bigint>, bits array<bigint>"), "lines-prefixes")
+    # number and place in one column, and both signatures: a row for every token of every line's prefix is shuffled
+    listed = prefixes.select("sig_a", "sig_b", "n", F.posexplode("p1").alias("pos", "token")).select("token", "sig_a", "sig_b", F.expr("shiftleft(n, 32) | pos").alias("np"))
+    # a token with one line proposes nothing; one shuffle serves to find the others, and a line is listed once a task at most
     group = Window.partitionBy("token")
-    shared = listed.withColumns({"a": F.min("sig_a").over(group), "z": F.max("sig_a").over(group)}).where("a <> z")
-    member = shared.groupBy("token", "sig_a").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    member = settle(member.join(first.select("sig_a", "e"), "sig_a"), "lines-members")
-    sketch = prefixes.join(member.select("sig_a").distinct(), "sig_a", "left_semi").select("sig_a", "bits").dropDuplicates(["sig_a"])
-    member = settle(member.join(sketch, "sig_a"), "lines-sketched")
+    differ = (F.min("sig_a").over(group) != F.max("sig_a").over(group)) | (F.min("sig_b").over(group) != F.max("sig_b").over(group))
+    member = listed.withColumn("differ", differ).where("differ").groupBy("token", "sig_a", "sig_b").agg(F.min("np").alias("np"))
+    member = member.select("token", "sig_a", "sig_b", F.expr("shiftright(np, 32)").alias("n"), F.expr("cast(np & 4294967295 as int)").alias("pos"))
+    member = settle(member.join(first, KEY), "lines-members")
+    sketch = prefixes.join(member.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "bits").dropDuplicates(KEY)
+    member = settle(member.join(sketch, KEY), "lines-sketched")
     groups = member.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("e", "n", "pos", "bits")).alias("lead"))
     member = member.join(groups, "token")
     lead = F.col("lead")
     able = _able(F.col("n"), F.col("pos"), lead.n, lead.pos, percent) & _even(F.col("n"), F.col("bits"), lead.n, lead.bits, percent, PARITY)
     later = member.where(F.col("e") != lead.e)
-    late = _verified(known, later.where(able).select("sig_a", F.col("e").alias("x"), lead.e.alias("y")), k, percent, min_words, kind)
+    late = _verified(known, later.where(able).select(*KEY, F.col("e").alias("x"), lead.e.alias("y")), k, percent, min_words, kind)
+
+    probe = later.join(late, KEY, "left_anti").select("token", *KEY, F.col("e").alias("x"), F.col("pos").alias("xpos"), F.col("bits").alias("xbits"))
+    others = later.select("token", F.col("e").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("bits").alias("ybits"))
+    able = _able(F.col("yn"), F.col("ypos"), F.col("n"), F.col("xpos"), percent) & _even(F.col("yn"), F.col("ybits"), F.col("n"), F.col("xbits"), percent, PARITY)
+    rest = probe.join(others, "token").where((F.col("y") < F.col("x")) & able).select(*KEY, "x", "y")
+    late = late.unionByName(_verified(known, rest, k, percent, min_words, kind)).distinct()
+
+    fate = first.join(late.withColumn("late", F.lit(True)), KEY, "left").select(*KEY, "e", F.coalesce("late", F.lit(False)).alias("late"))
+    away = rows.join(fate, KEY).where(F.col("late") | (F.struct("doc_id", "h", "line") != F.col("e")))
+    return settle(away.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")), "lines-removed", keep=True)
+
+
+def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
-    probe = later.join(late, "sig_a", "left_anti").select("token", "sig_a", F.col("e").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("bits").alias("xbits"))
-    others = later.select("token", F.col("e").alias("y"), "n", "pos", "bits")
-    able = _able(F.col("n"), F.col("pos"), F.col("xn"), F.col("xpos"), percent) & _even(F.col("n"), F.col("bits"), F.col("xn"), F.col("xbits"), percent, PARITY)
-    rest = probe.join(others, "token").where((F.col("y") < F.col("x")) & able).select("sig_a", "x", "y")
-    late = late.unionByName(_verified(known, rest, k, percent, min_words, kind))
 
-    fate = first.join(late.withColumn("late", F.lit(True)), "sig_a", "left").select(*key, "e", F.coalesce("late", F.lit(False)).alias("late"))
-    away = rows.join(fate, key).where(F.col("late") | (F.struct("doc_id", "line") != F.col("e")))
-    away = away.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+def decide(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per doc_id: doc_id, n_lines, removed (numbers of its lines that go, from 0, in order); of several texts under one doc_id, the most lines and all numbers."""
+    docs = _hashed(docs, doc_id, text)
+    with scratch():
+        away = _removed(docs, k, percent, min_words).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
     counted = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0))).alias("n_lines"))
     none = F.expr("cast(array() as array<int>)")
     return counted.join(away, "doc_id", "left").select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed"))
 
 
-def dedup(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 5, doc_id: str = "doc_id", text: str = "text", drop_empty: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 1, doc_id: str = "doc_id", text: str = "text", drop_empty: bool = False) -> DataFrame:
     """docs with the removed lines cut out of text; drop_empty drops documents of which no word is left by that."""
-    cut = decide(docs, k, percent, min_words, doc_id, text).where("size(removed) > 0").select(F.col("doc_id").alias("_d"), "removed")
-    numbered = F.arrays_zip(F.split(text, "\n").alias("t"), F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1).alias("i"))
-    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.col("removed"), x["i"])), lambda x: x["t"])
-    changed = F.col("removed").isNotNull()
-    out = docs.join(cut, docs[doc_id] == cut["_d"], "left").withColumn("_text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text)))
+    name, h, gone, left = unused(docs, "name", "h", "gone", "left")
+    with scratch():
+        cut = _removed(_hashed(docs, doc_id, text), k, percent, min_words).toDF(name, h, gone)
+    lines = F.split(F.col(text), "\n")
+    numbered = F.arrays_zip(lines.alias("t"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i"))
+    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.col(gone), x["i"])), lambda x: x["t"])
+    changed = F.col(gone).isNotNull()
+    out = docs.withColumns({name: F.col(doc_id), h: F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).join(cut, [name, h], "left")
+    out = out.withColumn(left, F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text)))
     if drop_empty:
-        out = out.where(~changed | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("_text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+        out = out.where(~changed | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

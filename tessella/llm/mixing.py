@@ -13,7 +13,7 @@ are hashes of ids, so reruns agree on any cluster.
 
 Defined results: null and blank texts have size 0 and are taken as often as the whole part says; rows that repeat doc_id,
 source and size are one unit and share one decision; a source of size 0 has target 0; an empty table gives an empty
-result; other columns are ignored. A source that holds most rows is dealt over chunks by hash; only per-source sums are
+result; other columns are ignored, or kept by mix, whatever they are called. A source that holds most rows is dealt over chunks by hash; only per-source sums are
 ordered, and only totals reach the driver.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SPACES, settle
+from .base import SPACES, scratch, settle, unused
 
 WEIGHTS, CAP, CHUNK, SEED, EPS = (5, 2, 1), 3, 128, 20260101, 1e-12
 
@@ -120,21 +120,24 @@ def rounded(open_units: DataFrame) -> DataFrame:
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per unit: doc_id, source, size, m, source_size, target, copies (how often the mix takes each of its rows)."""
-    sized = settle(units(docs, doc_id, source, text), "mix-units")
-    goal = targets(sized, weights, cap)
-    often = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = settle(goal.withColumns({"whole": F.floor(often).cast("int"), "p": often - F.floor(often)}), "mix-targets")
-    named = whole.select(F.col("source").alias("s"), "source_size", "target", "whole", "p")
-    joined = sized.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    open_ = (F.col("p") > 0) & (F.col("size") > 0)
-    more = rounded(settle(joined.where(open_).select("source", "doc_id", "size", "m", "p"), "mix-open"))
-    more = more.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "m", "source_size", "target", (F.col("whole") + F.col("more")).alias("copies"))
-    return joined.where(~open_).select("doc_id", "source", "size", "m", "source_size", "target", F.col("whole").alias("copies")).unionByName(more)
+    with scratch():
+        sized = settle(units(docs, doc_id, source, text), "mix-units")
+        goal = targets(sized, weights, cap)
+        often = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        whole = settle(goal.withColumns({"whole": F.floor(often).cast("int"), "p": often - F.floor(often)}), "mix-targets")
+        named = whole.select(F.col("source").alias("s"), "source_size", "target", "whole", "p")
+        joined = sized.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        open_ = (F.col("p") > 0) & (F.col("size") > 0)
+        more = rounded(settle(joined.where(open_).select("source", "doc_id", "size", "m", "p"), "mix-open"))
+        more = more.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "m", "source_size", "target", (F.col("whole") + F.col("more")).alias("copies"))
+        found = joined.where(~open_).select("doc_id", "source", "size", "m", "source_size", "target", F.col("whole").alias("copies")).unionByName(more)
+        return settle(found, "mix-copies", keep=True)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents, each as many times as the mix takes it."""
-    taken = copies(docs, weights, cap, doc_id, source, text).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c"))
-    n = F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), "")).cast("long")
-    match = F.col(doc_id).eqNullSafe(F.col("_d")) & F.col(source).eqNullSafe(F.col("_s")) & (n == F.col("_n"))
-    return docs.join(taken, match).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("_c"))).alias("_copy")).drop("_copy")
+    d, s, n, c, copy = unused(docs, "d", "s", "n", "c", "copy")
+    taken = copies(docs, weights, cap, doc_id, source, text).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(c))
+    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), "")).cast("long")
+    match = F.col(doc_id).eqNullSafe(F.col(d)) & F.col(source).eqNullSafe(F.col(s)) & (words == F.col(n))
+    return docs.join(taken, match).select(*[docs[f"`{x}`"] for x in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col(c))).alias(copy)).drop(copy)

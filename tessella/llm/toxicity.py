@@ -7,12 +7,14 @@ a long text is not averaged away. Training first fits whole texts, then each tex
 
 The model is linear in the mean, so for scoring a word is one number: words are scored once per task and looked up.
 
-Sample: at most SAMPLE rows of each class, those of smallest hashed id, of texts up to SAMPLE_CHARS characters; the
-logit is corrected for the classes' true shares. The driver holds the sample only.
+Sample: at most SAMPLE rows of each class, those of smallest hashed id, of texts up to SAMPLE_CHARS characters, and of those
+as many as have SAMPLE_TOTAL characters a class; the logit is corrected for the classes' true shares. One task trains; the
+driver gets one weight a bucket.
 
 Defined results: null and empty texts have no words and score as the intercept does; without labelled rows of both
 classes every text scores the share of toxic labels seen (0 without any); repeated labels of a document count once, toxic
-if any is; repeated documents are scored each; an empty table gives an empty result; other columns are ignored; texts are
+if any is; repeated documents are scored each, and of texts that share a labelled doc_id the first in order is
+learnt from; an empty table gives an empty result; other columns are ignored; texts are
 scored whole.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .base import arrow_map
 
-SAMPLE, SAMPLE_CHARS = 2000, 100_000
+SAMPLE, SAMPLE_CHARS, SAMPLE_TOTAL = 2000, 100_000, 16_000_000
 BUCKETS, DIM, GRAMS, HALF = 1 << 17, 8, (3, 4, 5, 6), 24
 STEPS, BATCH, RATE, SEED, CACHE, PART = 500, 64, 0.5, 7, 150_000, 1 << 14
 MIN_DOCS, DROPPED, DECAY = 5, 0.5, 0.0005
@@ -197,8 +199,8 @@ def train(texts: list[str], labels: list[int], prior: float | None = None) -> Mo
     return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]) + math.log(prior / (1 - prior)))
 
 
-def scorer(model: Model):
-    """A function for mapInArrow: batches of (first column, text, ...) to the columns other than the text, and score."""
+def scorer(model: Model, at_text: int = 1, keep: bool = False):
+    """A function for mapInArrow: batches with the text in column at_text to their other columns, or all of them, and score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -222,7 +224,7 @@ def scorer(model: Model):
             return 1 / (1 + math.exp(-max(-500.0, min(500.0, model.bias + value))))
 
         for batch in batches:
-            texts, found = batch.column(1), [model.flat] * batch.num_rows
+            texts, found = batch.column(at_text), [model.flat] * batch.num_rows
             at = 0
             while model.flat is None and at < len(texts):
                 # words of many texts are scored at a time; a long text is taken alone
@@ -233,8 +235,8 @@ def scorer(model: Model):
                 learn(set().union(*part))
                 found[at : at + len(part)] = map(score, part)
                 at += len(part)
-            keep = [i for i in range(batch.num_columns) if i != 1]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(found, pa.float64())], [*[batch.schema.names[i] for i in keep], "score"])
+            stay = [i for i in range(batch.num_columns) if keep or i != at_text]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], pa.array(found, pa.float64())], [*[batch.schema.names[i] for i in stay], "score"])
 
     return run
 
@@ -255,11 +257,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # both samples are bounded, so they may be broadcast
     chosen = [marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    texts, marks = [r.text for r in rows], [r.y for r in rows]
-    del rows
-    return train(texts, marks, counts[1] / total)
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("y", "text")
+    found = arrow_map(rows, _trainer(counts[1] / total), "weights binary, bias double, flat double").first()
+    return Model(np.frombuffer(found.weights, np.float32).astype(np.float64), found.bias, found.flat)
+
+
+def _trainer(prior: float):
+    """A function for mapInArrow: all rows (y, text) of the sample to one row of the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks, size = [], [], [0, 0]
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                size[y] += len(text)
+                if size[y] <= SAMPLE_TOTAL or y not in marks:
+                    texts.append(text)
+                    marks.append(y)
+        model = train(texts, marks, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()]), pa.array([model.bias]), pa.array([model.flat], pa.float64())], ["weights", "bias", "flat"])
+
+    return run
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,8 +289,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The documents that score below threshold, whole."""
     names = docs.columns
-    # the scorer takes a leading column and the text, and passes on the rest
-    rows = docs.select(F.lit(0).alias("_lead"), F.col(text).alias("_scored"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
-    schema = "_lead int, " + ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + ", score double"
-    found = arrow_map(rows, scorer(model), schema).where(F.col("score") < threshold)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
+    schema = ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + ", score double"
+    found = arrow_map(rows, scorer(model, names.index(text), keep=True), schema).where(F.col("score") < threshold)
     return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
