@@ -1,6 +1,12 @@
 """The corpus pipeline: five stages, each over all that the one before kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, whatever else
+docs has beside doc_id, text, source and n_chars.
+
+Defined results: null texts count as empty but stay null, and are never toxic, cut or near copies; they have size 0 in the
+mix, and null ids in the last stage. Rows that repeat doc_id and text are one document from the near-copy stage on; rows
+that share a doc_id but not a text are judged each; rows without doc_id are never cut or removed as copies of others, but
+once per text. Empty tables pass through all stages. Texts are taken whole at every stage.
 """
 
 from __future__ import annotations
@@ -14,9 +20,9 @@ from tessella.llm.queries import PIECES
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; the model learns from the labelled rows among them."""
+    """Documents that op2_toxicity would not call toxic; the model learns from the labelled rows among them."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.drop_toxic(docs, model, threshold=0.5)
+    return toxicity.drop_toxic(docs, model, threshold=0.3)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,15 @@ def settle(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table may be broadcast.
+FEW = 500_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows, marked for broadcast where there are at most FEW of them."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df does not have in any case of letters."""
     taken = {c.lower() for c in df.columns}

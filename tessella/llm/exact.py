@@ -2,7 +2,7 @@
 
 Texts are equal when they are identical after deleting ASCII white space. Only rows whose (length, prefix hash) occurs
 more than once have their whole text hashed. Texts do not move: hashes are taken in the scan, and what is shuffled has one
-narrow row a document. The keys that occur more than once are broadcast while there are at most KEYS of them; beyond that
+narrow row a document. The keys that occur more than once are broadcast while they are few; beyond that
 every text is hashed in the scan and the rows are told apart by a join of hashes. All counting is by partial aggregation,
 so a key that holds a third of all rows is counted before it is shuffled.
 
@@ -18,20 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, scratch, settle, unused
+from .base import SPACES, few, scratch, settle, unused
 
-PREFIX, KEYS = 64, 500_000
+PREFIX = 64
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """rows, marked for broadcast where their number is small."""
-    return F.broadcast(rows) if rows.count() <= KEYS else rows
-
-
 def refine(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_all: bool = False) -> DataFrame:
     """One narrow row per document: doc_id, n_chars, content_key (sha256 of the normalised text; null where length or prefix already tell it apart).
 
@@ -43,17 +38,17 @@ def refine(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_a
         keyed = keyed.select("doc_id", "n_chars", F.length("norm").alias("norm_len"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("head"), "norm")
         narrow = settle(keyed.drop("norm") if not digest_all else keyed.select("*", full.alias("text_sha256")).drop("norm"), "exact-narrow")
         lengths = settle(narrow.groupBy("norm_len").count().where("count > 1").select("norm_len"), "exact-lengths")
-        heads = narrow.join(_few(lengths), "norm_len", "left_semi").groupBy("norm_len", "head").count().where("count > 1")
+        heads = narrow.join(few(lengths), "norm_len", "left_semi").groupBy("norm_len", "head").count().where("count > 1")
         shared = settle(heads.select("norm_len", "head", F.lit(True).alias("shared")), "exact-heads")
-        few = _few(shared)
+        known = few(shared)
         if digest_all:
             rows = narrow
-        elif few is not shared:
+        elif known is not shared:
             rows = keyed.withColumn("text_sha256", F.lit(None).cast("string"))
         else:
             rows = keyed.withColumn("text_sha256", full).drop("norm")
         digest = F.col("text_sha256") if "norm" not in rows.columns else full
-        found = rows.join(few, ["norm_len", "head"], "left").select("doc_id", "n_chars", F.when(F.col("shared"), digest).alias("content_key"), *(["text_sha256"] if digest_all else []))
+        found = rows.join(known, ["norm_len", "head"], "left").select("doc_id", "n_chars", F.when(F.col("shared"), digest).alias("content_key"), *(["text_sha256"] if digest_all else []))
         return settle(found, "exact-keys", keep=True)
 
 

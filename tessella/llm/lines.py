@@ -184,7 +184,7 @@ def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame
 
 
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
 
 
 def decide(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +206,7 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 1, do
     numbered = F.arrays_zip(lines.alias("t"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i"))
     kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.col(gone), x["i"])), lambda x: x["t"])
     changed = F.col(gone).isNotNull()
-    out = docs.withColumns({name: F.col(doc_id), h: F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).join(cut, [name, h], "left")
+    out = docs.withColumns({name: F.col(doc_id), h: F.xxhash64(F.col(text))}).join(cut, [name, h], "left")
     out = out.withColumn(left, F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text)))
     if drop_empty:
         out = out.where(~changed | F.col(left).rlike(r"[^\x20\x09-\x0D]"))

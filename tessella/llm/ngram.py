@@ -225,7 +225,7 @@ def _able(n: Column, pos: Column, m: Column, other: Column, percent: int) -> Col
 
 def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """docs (doc_id, text) to a row per document: doc_id, h (hash of the text), n_shingles, component_id, gone (it is not the first of its component)."""
-    docs = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    docs = docs.withColumn("h", F.xxhash64("text"))
     kind = docs.dtypes[0][1]
     summary = settle(arrow_map(docs, _summary(k), f"is_doc boolean, doc_id {kind}, h long, n long, sig_a long, sig_b long, counts binary"), "ngram-summary")
     rarity = _rarity(summary)
@@ -288,7 +288,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_
         rows = _classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, percent)
         rows = settle(rows.select(F.col("doc_id").alias(name), F.col("h").alias(h), "gone"), "ngram-kept", keep=True)
     gone = rows.where("gone").select(name, h).distinct()
-    found = docs.withColumns({name: F.col(doc_id), h: F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).join(gone, [name, h], "left_anti")
+    found = docs.withColumns({name: F.col(doc_id), h: F.xxhash64(F.col(text))}).join(gone, [name, h], "left_anti")
     if not rows.where("gone is null or not gone").groupBy(name, h).count().where("count > 1").isEmpty():
         found = found.dropDuplicates([name, h])
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,15 +1,18 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
-Kinds in their listed order: email, ip, card, phone (the base kinds: every validated match stays), then iban, ssn and
-local_phone, which stay when their score reaches KEEP and no base span overlaps them. Matches are leftmost and
+Kinds in their listed order: email, ip, card, phone (the base kinds: every validated match stays), then iban, ssn,
+local_phone, secret (keys and tokens) and private_key (PEM blocks), which stay when their score reaches KEEP and no base
+span overlaps them. A secret is a long run of letters and digits: one with the prefix of a known issuer scores enough
+alone, others only beside a word such as token or password. Matches are leftmost and
 non-overlapping within a kind; one that fails its validator is dropped and not retried. An iban's pattern gives its start
 only: its end is where the country's length, the whole run of groups or, for countries not listed, the longest run that
 ends at a border passes mod 97, so that words behind it are not taken in. Expressions only: a text's matches
 are located by splitting it with the pattern and adding up lengths in code points. The patterns have no nested
 backtracking: possessive quantifiers and look-behind keep them linear in the text.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned each; an empty table gives an empty result;
-other columns are ignored; texts are scanned whole.
+Defined results: null and empty texts have no spans, and mask gives an empty text; repeated rows are scanned each, also
+where they share a doc_id or have none; an empty table gives an empty result; other columns are ignored; texts are scanned
+whole.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "local_phone"]
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret", "private_key"]
 BASE = KINDS[:4]
 #: \G: the end of the match before; a match may begin there though a character of the class stands in front.
 PATTERNS = {
@@ -28,10 +31,14 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_+-])[A-Za-z0-9_+-]{20,}+",
+    "private_key": r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[^-]*+(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----)?",
 }
+#: Prefixes that issuers of keys and tokens have published.
+ISSUED = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk_live_|sk_test_|rk_live_|xox[abprs]-|eyJ|npm_|pypi-|SG\.)"
 #: Cheap tests that a text can hold the kind at all.
-HINTS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
-DIGITS = {"ip", "card", "phone", "iban", "ssn", "local_phone"}
+HINTS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-", "private_key": "-----BEGIN "}
+DIGITS = {"ip", "card", "phone", "iban", "ssn", "local_phone", "secret"}
 CONTEXT = {
     "email": r"e-?mail|contact|write to|mailto",
     "ip": r"\bip\b|address|host|server|login",
@@ -40,9 +47,11 @@ CONTEXT = {
     "iban": r"iban|account|bank|konto|cuenta|compte",
     "ssn": r"\bssn\b|social|security|insurance",
     "local_phone": r"phone|tel\b|call|mobile|fax|contact",
+    "secret": r"token|secret|passw|\bpwd\b|key\b|\bauth|bearer|credential",
+    "private_key": r"key|secret|cert",
 }
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3}
-BONUS, KEEP, NEAR = 0.2, 0.5, 48
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3, "secret": 0.3, "private_key": 0.9}
+BONUS, KEEP, NEAR, KNOWN = 0.2, 0.5, 48, 0.4
 
 
 #: Characters of an account code by country.
@@ -117,6 +126,8 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "ssn":
         return ~hit.rlike("^(?:000|666|9..)|-00-|-0000$")
+    if kind == "secret":  # random characters: letters and digits, and many different ones
+        return hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(hit, ""))) >= 10)
     return F.lit(True)
 
 
@@ -124,11 +135,15 @@ def _found(text: Column, kind: str) -> Column:
     """Array of (kind, start, end, score) of the matches that pass; score at least KEEP for the kinds added to the base."""
     far = F.length(F.lit(""))
 
+    def score(hit: Column, near: Column) -> Column:
+        known = F.when(hit.rlike(ISSUED), KNOWN).otherwise(0.0) if kind == "secret" else F.lit(0.0)
+        return F.round(F.when(near, SCORES[kind] + BONUS).otherwise(F.lit(SCORES[kind])) + known, 2)
+
     def scored(m: Column) -> Column:
         start, end = m["start"], m["start"] + F.length(m["hit"])
         begin = F.greatest(start - NEAR, far)
         near = F.lower(F.substring(text, begin + 1, end - begin + NEAR)).rlike(CONTEXT[kind])
-        return F.struct(F.lit(KINDS.index(kind)).alias("rank"), start.alias("start"), end.alias("end"), F.when(near, SCORES[kind] + BONUS).otherwise(F.lit(SCORES[kind])).alias("score"))
+        return F.struct(F.lit(KINDS.index(kind)).alias("rank"), start.alias("start"), end.alias("end"), score(m["hit"], near).alias("score"))
 
     matches = _accounts(_matches(text, kind), text) if kind == "iban" else _matches(text, kind)
     found = F.transform(F.filter(matches, lambda m: _valid(kind, m["hit"])), scored)
@@ -140,14 +155,19 @@ def _found(text: Column, kind: str) -> Column:
     return F.when(able, found).otherwise(F.expr("cast(array() as array<struct<rank:int,start:int,end:int,score:double>>)"))
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, base and spans: arrays of (rank in KINDS, start, end, score) by start, then kind."""
+def _scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, _text (null: empty), base and spans of each row."""
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"])
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.withColumn("_digits", F.col("_text").rlike("[0-9]"))
-    rows = rows.select("doc_id", F.concat(*[_found(F.col("_text"), k) for k in BASE]).alias("_base"), F.concat(*[_found(F.col("_text"), k) for k in KINDS[4:]]).alias("_more"))
+    rows = rows.select("doc_id", "_text", F.concat(*[_found(F.col("_text"), k) for k in BASE]).alias("_base"), F.concat(*[_found(F.col("_text"), k) for k in KINDS[4:]]).alias("_more"))
     free = F.filter("_more", lambda m: ~F.exists(F.col("_base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select("doc_id", F.array_sort("_base", order).alias("base"), F.array_sort(F.concat("_base", free), order).alias("spans"))
+    return rows.select("doc_id", "_text", F.array_sort("_base", order).alias("base"), F.array_sort(F.concat("_base", free), order).alias("spans"))
+
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, base and spans: arrays of (rank in KINDS, start, end, score) by start, then kind."""
+    return _scanned(docs, doc_id, text).drop("_text")
 
 
 def joined(spans: Column) -> Column:
@@ -156,10 +176,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the text with every span replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    rows = find(docs, doc_id, text).select("doc_id", "spans").join(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "doc_id")
+def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.0) -> DataFrame:
+    """doc_id and the text with every span of score least or more replaced by its kind in angle brackets; of overlapping spans the first counts."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     start = F.expr("struct(cast(array() as array<string>) as parts, 0 as at)")
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["parts"], F.array(F.substring(F.col("_text"), a["at"] + 1, s["start"] - a["at"]), F.get(names, s["rank"]))).alias("parts"), s["end"].alias("at")))
+    rows = _scanned(docs, doc_id, text).select("doc_id", "_text", F.filter("spans", lambda s: s["score"] >= least).alias("spans"))
     return rows.select("doc_id", F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("_text"), a["at"] + 1, F.length("_text")))).alias("text"))

@@ -29,9 +29,13 @@ REVISIONS = [
 ]
 
 
+#: pages have no time of capture; the page's number gives a second of the 30 days from FROM on.
+FROM, DAYS, STEP = 1_704_067_200, 30, 104_729
+
+
 def captures(pages: DataFrame) -> DataFrame:
-    """(page_id, url, at): `pages` has no time of capture, so the URL's crc32 gives a second of the 30 days from 2024-01-01."""
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.crc32(F.col("url").cast("binary")) % (30 * 86_400))
+    """(page_id, url, at) with the time that the page's number gives."""
+    at = F.timestamp_seconds(F.lit(FROM) + (F.col("page_id") * STEP) % (DAYS * 86_400))
     return pages.select("page_id", "url", at.alias("at"))
 
 
@@ -43,6 +47,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", urls.host(F.col("url")).alias("host"), F.unix_seconds("at").alias("at"), F.col("rule.entry").alias("entry"), F.unix_seconds("rule.since").alias("since"), F.col("rule.verdict").alias("verdict"), (~blocked).alias("kept"))
 
 
+_LISTED = ", ".join(f"('{e}', epoch(TIMESTAMP '{t}'), {repr(v) if v else 'NULL'})" for e, t, v in REVISIONS)
+ORACLES["op1_url_filters"] = rf"""
+WITH r AS (SELECT entry, CAST(since AS BIGINT) AS since, verdict, regexp_replace(regexp_replace(entry, '^[a-z]+://', ''), '^\*\.', '') AS bare FROM (VALUES {_LISTED}) v(entry, since, verdict)),
+k AS (SELECT *, regexp_extract(bare, '^[^/]*') AS h, regexp_replace(regexp_extract(bare, '/.*'), '/$', '') AS p FROM r),
+i AS (SELECT *, lead(since) OVER (PARTITION BY h, p ORDER BY since) AS until FROM k),
+c AS (SELECT page_id, url, {FROM} + (page_id * {STEP}) % {DAYS * 86_400} AS at, regexp_replace(url, '^[a-z]+://', '') AS rest FROM pages),
+d AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS host, regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '/$', '') AS path FROM c),
+m AS (SELECT d.page_id, i.entry, i.since, i.verdict FROM d JOIN i ON (d.host = i.h OR d.host LIKE '%.' || i.h) AND (d.path = i.p OR starts_with(d.path, i.p || '/')) AND i.since <= d.at AND (i.until IS NULL OR d.at < i.until)
+  WHERE i.verdict IS NOT NULL QUALIFY row_number() OVER (PARTITION BY d.page_id ORDER BY length(i.h) DESC, length(i.p) DESC) = 1)
+SELECT d.page_id, d.host, d.at, m.entry, m.since, m.verdict, coalesce(m.verdict <> 'block', true) AS kept FROM d LEFT JOIN m USING (page_id)"""
+
+
 @query
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = "</s>[INST] ok [/INST]"
@@ -90,8 +106,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents")).select("doc_id", "base", "spans")
-    count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    count = lambda column, k: F.size(F.filter(column, lambda s: s["rank"] == pii.KINDS.index(k))).cast("long")
+    secrets = count("spans", "secret") + count("spans", "private_key")
+    return found.select(
+        "doc_id", *[count("base", k).alias(f"n_{k}") for k in pii.BASE], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+        secrets.alias("n_secret"), F.size("spans").cast("long").alias("n_spans"), F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"),
+    )
 
 
 @query

@@ -5,9 +5,11 @@ is null (withdrawn), until its next revision. An entry is a host, which stands f
 which stands for what is below it. Of the entries in force at a capture's time the one with the longest host decides,
 then the one with the longest path; without any the verdict is null and the capture stays.
 
-A capture meets an entry by equal keys: its host and parent hosts, each with every prefix of the path. An entry's revisions
-come as one sorted array, so the as-of join makes one row a capture and listed key, however often the entry was revised.
-Expressions and joins only; nothing is broadcast by name.
+Revisions become validity intervals: each holds from its time on until the next revision of the same entry. A capture meets
+an interval by equal keys, its host and parent hosts, each with every prefix of the path, and by its time; as intervals of
+an entry do not overlap, it meets one an entry, however often that was revised. Hosts are held against the listed hosts
+first, so that only captures of these are told by path. Expressions and joins only; intervals are broadcast where they are
+few, otherwise a host with many captures is a skewed join, which adaptive execution splits.
 
 Defined results: the interval of a revision holds its start and not its end; of revisions of an entry at one time block
 comes before allow and allow before null; revisions without entry or time are ignored; captures without URL, host or time
@@ -18,9 +20,11 @@ trailing slashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import few, scratch, settle, unused
+
 NONE = "cast(null as struct<entry:string,since:timestamp,verdict:string>)"
 
 
@@ -42,31 +46,39 @@ def _joined(parts: Column, first: Column | int, size: Column, by: str) -> Column
     return F.array_join(F.slice(parts, first, size), by)
 
 
-def keys(url: Column) -> Column:
-    """Array of (host, path): the host and its parents, each with every prefix of the path; addresses have no parents."""
+def hosts(url: Column) -> Column:
+    """Array of the host and its parents; addresses have no parents."""
     name = host(url)
-    labels, parts = F.split(name, r"\."), F.split(path(url), "/")
+    labels = F.split(name, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: _joined(labels, i, F.size(labels) - i + 1, "."))
-    hosts = F.when(name == "", F.array().cast("array<string>")).when(name.rlike(r"^[0-9.]+$|:"), F.array(name)).otherwise(parents)
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: _joined(parts, 1, i, "/"))
-    return F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("host"), p.alias("path")))))
+    return F.when(name == "", F.array().cast("array<string>")).when(name.rlike(r"^[0-9.]+$|:"), F.array(name)).otherwise(parents)
+
+
+def prefixes(url: Column) -> Column:
+    """Array of the path and the paths above it, the root's empty one among them."""
+    parts = F.split(path(url), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: _joined(parts, 1, i, "/"))
 
 
-def histories(revisions: DataFrame) -> DataFrame:
-    """(host, path, history): the revisions of each entry as an array of (since, order, verdict, entry) by time."""
+def intervals(revisions: DataFrame) -> DataFrame:
+    """(host, path, since, until, verdict, entry) of every revision that holds for some time; until is null for the last of an entry."""
     entry = F.regexp_replace(F.trim("entry"), r"^\*?\.", "")
     rank = F.when(F.col("verdict") == "block", 2).when(F.col("verdict") == "allow", 1).otherwise(0)
-    rows = revisions.where("entry is not null and since is not null").select(host(entry).alias("host"), path(entry).alias("path"), F.struct("since", rank.alias("rank"), "verdict", "entry").alias("r"))
-    return rows.where("host <> ''").groupBy("host", "path").agg(F.array_sort(F.collect_set("r")).alias("history"))
+    rows = revisions.where("entry is not null and since is not null").select(host(entry).alias("host"), path(entry).alias("path"), F.col("since").cast("timestamp").alias("since"), rank.alias("rank"), "verdict", "entry").where("host <> ''")
+    after = Window.partitionBy("host", "path").orderBy("since", "rank", "verdict", "entry")
+    rows = rows.withColumn("until", F.lead("since").over(after)).where("until is null or since < until")
+    return rows.select("host", "path", "since", "until", "verdict", "entry")
 
 
 def judge(captures: DataFrame, revisions: DataFrame, url: str = "url", at: str = "at") -> DataFrame:
     """captures with rule: (entry, since, verdict) of the revision that decides, or null."""
-    asked = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).where("_url is not null and _at is not null").distinct()
-    listed = asked.select("_url", "_at", F.explode(keys(F.col("_url"))).alias("k")).select("_url", "_at", "k.host", "k.path").join(histories(revisions), ["host", "path"])
-    now = F.element_at(F.filter("history", lambda r: r["since"] <= F.col("_at")), -1)
-    able = listed.withColumn("now", F.when(F.exists("history", lambda r: r["since"] <= F.col("_at")), now)).where("now.verdict is not null")
-    rule = F.struct(F.col("now.entry").alias("entry"), F.col("now.since").cast("timestamp").alias("since"), F.col("now.verdict").alias("verdict"))
-    decided = able.groupBy("_url", "_at").agg(F.max_by(rule, F.struct(F.length("host"), F.length("path"))).alias("rule"))
-    found = captures.join(decided, (captures[url] == decided["_url"]) & (captures[at] == decided["_at"]), "left")
+    u, t = unused(captures, "url", "at")
+    with scratch():
+        listed = settle(intervals(revisions).where("verdict is not null"), "url-intervals", keep=True)
+    asked = captures.select(F.col(url).alias(u), F.col(at).cast("timestamp").alias(t)).where(F.col(u).isNotNull() & F.col(t).isNotNull()).distinct()
+    known = asked.select(u, t, F.explode(hosts(F.col(u))).alias("host")).join(few(listed.select("host").distinct()), "host", "left_semi")
+    met = known.select(u, t, "host", F.explode(prefixes(F.col(u))).alias("path")).join(few(listed), ["host", "path"])
+    met = met.where((F.col("since") <= F.col(t)) & (F.col("until").isNull() | (F.col(t) < F.col("until"))))
+    decided = met.groupBy(u, t).agg(F.max_by(F.struct("entry", "since", "verdict"), F.struct(F.length("host"), F.length("path"))).alias("rule"))
+    found = captures.join(decided, (captures[f"`{url}`"] == decided[u]) & (captures[f"`{at}`"].cast("timestamp") == decided[t]), "left")
     return found.select(*[captures[f"`{c}`"] for c in captures.columns], F.coalesce("rule", F.expr(NONE)).alias("rule"))
