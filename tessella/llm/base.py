@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -83,6 +84,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
+def _trim() -> None:
+    """Give memory that was freed back to the system, where the C library can: a worker that waits for its next task keeps little."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow in batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, so that a worker's memory stays small.
 
@@ -93,4 +102,9 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
         now = conf.get(key).rstrip("b")
         if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
             conf.set(key, most)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        _trim()
+
+    return df.mapInArrow(run, schema)

@@ -37,7 +37,7 @@ from .base import arrow_map, scratch, settle, unused
 from .lanes import U, Words, chunks, distinct, mix, ordered
 from .ngram import _SEEDS, BUCKETS, SHIFT, SLICE, _able, _by_doc, _even, _least, _lists, _pack, _rarity, hit, reread
 
-PARITY, REMEMBERED = 256, 500_000
+PARITY, REMEMBERED, _LOW = 256, 200_000, (1 << 64) - 1
 
 
 class Lines:
@@ -95,7 +95,7 @@ def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
     """Rows (sig_a, sig_b, n, p1: first tokens by rarity, bits) of lines; a task gives a line that it remembers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in batches:
             for _, w in chunks(batch.column(0), lower=True):
                 x = Lines(w, k, min_words)
@@ -106,7 +106,7 @@ def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
                 p1 = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(values))
                 fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(x.n) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(bits))
                 sig, other = x.signature(0), x.signature(1)
-                new = np.array([not (s in seen or seen.add(s)) for s in zip(sig.tolist(), other.tolist(), strict=True)], bool)
+                new = np.array([not (s in seen or seen.add(s)) for s in (a << 64 | b & _LOW for a, b in zip(sig.tolist(), other.tolist(), strict=True))], bool)
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(other), pa.array(x.n), p1, fixed], ["sig_a", "sig_b", "n", "p1", "bits"]).filter(pa.array(new))

@@ -35,7 +35,7 @@ from .base import arrow_map
 U = np.uint64
 BLANK = "▁"
 _BASE = U(0x9E3779B97F4A7C15)
-SLOTS, CACHE, CHUNK, NONE = 1 << 19, 200_000, 1 << 21, -1
+SLOTS, CACHE, CHUNK, NONE = 1 << 19, 100_000, 1 << 19, -1
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
