@@ -81,3 +81,53 @@ def parse_money(text: Column) -> Column:
 def percent(before: Column, after: Column) -> Column:
     """Reduction in per cent; 0 where there was nothing before. Unrounded."""
     return F.when(before == 0, 0.0).otherwise(100.0 * (before - after) / F.when(before == 0, 1).otherwise(before))
+
+
+#: Fixed values of the purchasing sheet: cost of an order, share of cost to hold a year, weeks.
+ORDER_COST, HOLDING, WEEKS = 8.0, 0.22, 52.0
+
+
+def old_flag(on_hand: Column) -> Column:
+    return F.when(on_hand <= 0, "E").when(on_hand <= 20, "L").when(on_hand <= 500, "N").otherwise("H")
+
+
+def ledger_row(sku: Column, on_hand: Column) -> Column:
+    """A stock number, what is on hand right-aligned in six places, and its old flag."""
+    return F.concat_ws(" ", sku, pad_left(on_hand.cast("string"), 6), old_flag(on_hand))
+
+
+def order_quantity(demand: Column, order_cost: float = ORDER_COST, holding: float = HOLDING) -> Column:
+    """Economic order quantity of a year's demand, cut to a whole number; 0 without demand."""
+    return F.when(demand <= 0, 0).otherwise(F.floor(F.sqrt(2.0 * demand * order_cost / holding))).cast("long")
+
+
+def weeks_of_cover(on_hand: Column, demand: Column) -> Column:
+    return F.when(demand == 0, 0.0).otherwise(on_hand * WEEKS / F.nullif(demand, F.lit(0)))
+
+
+def whole_money(amount: Column) -> Column:
+    """Whether an amount can be summed: a number that is finite."""
+    return amount.isNotNull() & ~F.isnan(amount) & ~amount.isin(float("inf"), float("-inf"))
+
+
+def checked_sum(amount: Column, name: str) -> Column:
+    """Sum of a column that fails where a row has no finite number."""
+    return F.sum(F.when(whole_money(amount), amount).otherwise(F.raise_error(F.lit(f"{name} is not a finite number")).cast("double")))
+
+
+def normal_row(date: Column, category: Column, region: Column, amount: Column, description: Column) -> Column:
+    """A sales row from texts: struct(date, category, region, amount, description, error); error is the first rule it breaks, and then the rest is null.
+
+    Amounts may be written as money; a missing region is NA, a missing description empty.
+    """
+    day = date.rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$")
+    value = F.coalesce(amount.try_cast("double"), parse_money(amount))
+    error = (
+        F.when(date.isNull(), "missing date").when(~day, F.concat(F.lit("bad date "), date)).when(F.coalesce(category, F.lit("")) == "", "missing category")
+        .when(amount.isNull(), "amount must be a number or string").when(~whole_money(value), "amount must be finite")
+    )
+    ok = lambda c: F.when(error.isNull(), c)
+    return F.struct(
+        ok(date).alias("date"), ok(category).alias("category"), ok(F.coalesce(region, F.lit("NA"))).alias("region"), ok(value).alias("amount"),
+        ok(F.coalesce(description, F.lit(""))).alias("description"), error.alias("error"),
+    )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A token: a run of letters, digits and underscores in any script, or one other character that is not white space.
+#: Fixed values. A token: a run of letters, digits and underscores in any script, or one other character that is not white space.
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 WHITE = r"[\x20\x09-\x0D]+"
-#: Letters with marks and what they fold to; a sharp s becomes two letters and is handled apart.
+#: Fixed values. Letters with marks and what they fold to; a sharp s becomes two letters and is handled apart.
 FOLD_FROM, FOLD_TO = "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc"
 
 
@@ -142,3 +142,53 @@ def compile_feedback(output: Column, limit: int = 400) -> Column:
     pairs = F.regexp_extract_all(output, F.lit(r"(?m)^(error(?:\[E\d{4}\])?: .*$(?:\n\s*--> .*$)?)"), F.lit(1))
     shown = F.transform(F.slice(pairs, 1, 3), lambda p: F.regexp_replace(p, r"\n\s*", "\n"))
     return F.when(F.size(pairs) > 0, F.substring(F.array_join(shown, "; "), 1, limit)).otherwise(F.right(output, F.lit(200)))
+
+
+def csv_fields(line: Column) -> Column:
+    """Fields of a line with commas between them; quotes may stand anywhere, two within quotes are one; null where a quote stays open.
+
+    Pieces between quotes alternate between plain and quoted; an empty plain piece between two quoted ones is a quote.
+    """
+    pieces = F.split(line, '"', -1)
+    # a doubled quote ends a quoted piece and opens the next: the plain piece between them is empty and not at either end
+    between = lambda p, i: (i % 2 == 0) & (p == "") & (i > 0) & (i < F.size(pieces) - 1)
+    marked = F.transform(pieces, lambda p, i: F.struct(F.when(between(p, i), '"').otherwise(p).alias("p"), ((i % 2 == 1) | between(p, i)).alias("quoted")))
+
+    def step(fields: Column, x: Column) -> Column:
+        head, last, cut = F.slice(fields, F.lit(1), F.size(fields) - 1), F.element_at(fields, -1), F.split(x["p"], ",", -1)
+        plain = F.concat(head, F.array(F.concat(last, F.element_at(cut, 1))), F.slice(cut, F.lit(2), F.size(cut)))
+        return F.when(x["quoted"], F.concat(head, F.array(F.concat(last, x["p"])))).otherwise(plain)
+
+    found = F.aggregate(marked, F.expr("cast(array('') as array<string>)"), step)
+    return F.when(F.size(pieces) % 2 == 1, found)
+
+
+def csv_rows_of(text: Column) -> Column:
+    """Rows of a table as maps from the first line's names; blank lines are skipped, fields beyond the names dropped, missing ones empty; null without a first line or where a quote stays open."""
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "\r$", "")), lambda x: F.trim(F.translate(x, "\t\u000b\f\r", "    ")) != "")
+    fields = F.transform(rows, csv_fields)
+    head = F.get(fields, F.lit(0))
+    body = F.slice(fields, F.lit(2), F.size(fields))
+    pad = lambda r: F.transform(head, lambda h, i: F.coalesce(F.get(r, i), F.lit("")))
+    return F.when((F.size(rows) > 0) & ~F.exists(fields, lambda f: f.isNull()), F.transform(body, lambda r: F.map_from_arrays(head, pad(r))))
+
+
+def table_text(head: list[str], rows: Column) -> Column:
+    """A text table of an array of arrays of cells: columns as wide as their widest cell, two blanks between, numbers to the right, nothing behind the last column; null where a row has another number of cells."""
+    n = len(head)
+    cell = lambda r, j: F.get(r, F.lit(j))
+    column = lambda j: F.transform(rows, lambda r: cell(r, j))
+    width = [F.greatest(F.lit(len(h)), F.coalesce(F.array_max(F.transform(column(j), lambda x: F.length(x))), F.lit(0))) for j, h in enumerate(head)]
+    numeric = [F.forall(column(j), lambda x: x.rlike(r"^-?[0-9]+(\.[0-9]+)?$")) for j in range(n)]
+
+    def shown(text: Column, j: int, right: Column) -> Column:
+        if j == n - 1:
+            return text
+        spare = F.repeat(F.lit(" "), width[j] - F.length(text))
+        return F.when(right, F.concat(spare, text)).otherwise(F.concat(text, spare))
+
+    line = lambda cells, right: F.concat_ws("  ", *[shown(c, j, right[j]) for j, c in enumerate(cells)])
+    top = line([F.lit(h) for h in head], [F.lit(False)] * n)
+    bar = F.concat_ws("  ", *[F.repeat(F.lit("-"), w) for w in width])
+    body = F.transform(rows, lambda r: line([cell(r, j) for j in range(n)], numeric))
+    return F.when(F.forall(rows, lambda r: F.size(r) == n), F.concat(top, F.lit("\n"), bar, F.lit("\n"), F.array_join(body, "\n")))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Limits of a reply and of a transaction, and words that show a program looks names up while it runs.
+from tessella.operators.candidates import parents
+
+#: Limits of a reply and of a transaction.
 REPLY_CHARS, REPLY_BYTES, SITES, HELPER_CHARS = 32_000, 96 * 1024, 16, 32_000
-LOOKUPS = ["importlib", "pkgutil", "entry_points", "__import__", "iter_modules", "walk_packages"]
 
 
 def reply(text: Column) -> Column:
@@ -40,16 +38,9 @@ def transaction_fault(sites: DataFrame, files: DataFrame) -> DataFrame:
     return found.select("tx", F.when(F.col("sites") > SITES, "sites").when(F.col("chars") > HELPER_CHARS, "helper").when(F.col("lost"), "path").when(~F.col("once"), "region").alias("fault"))
 
 
-def blocked_folders(files: DataFrame) -> DataFrame:
-    """Folders whose Python files look names up while running: what is below is no candidate."""
-    return files.where(F.col("path").endswith(".py") & F.col("text").rlike("|".join(LOOKUPS))).select(F.regexp_replace("path", "[^/]*$", "").alias("folder")).distinct()
-
-
 def off_rails(candidates: DataFrame, folders: DataFrame, literals: DataFrame) -> DataFrame:
     """candidates (path, name) outside blocked folders that share no beginning of six letters with a literal (value); equi-joins on every parent folder."""
-    parts = F.split("path", "/")
-    parents = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
-    hit = candidates.select("path", F.explode(parents).alias("folder")).join(folders, "folder", "left_semi").select("path").distinct()
+    hit = candidates.select("path", F.explode(parents(F.col("path"))).alias("folder")).join(folders, "folder", "left_semi").select("path").distinct()
     starts = literals.where(F.length("value") >= 6).select(F.substring("value", 1, 6).alias("start")).distinct()
     rows = candidates.join(hit, "path", "left_anti").withColumn("start", F.when(F.length("name") >= 6, F.substring("name", 1, 6)))
     return rows.join(starts, "start", "left_anti").select("path", "name")
@@ -57,7 +48,7 @@ def off_rails(candidates: DataFrame, folders: DataFrame, literals: DataFrame) ->
 
 def order_lines(text: Column) -> Column:
     """Array of (sku, qty) of an order's text, blank lines and comments left out; null if any line is broken."""
-    rows = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     broken = F.exists(rows, lambda x: ~x.rlike(r"^[^,]+,\s*0*[1-9][0-9]*$"))
     return F.when(~broken, F.transform(rows, lambda x: F.struct(F.upper(F.trim(F.substring_index(x, ",", 1))).alias("sku"), F.trim(F.substring_index(x, ",", -1)).cast("long").alias("qty"))))
 
@@ -80,25 +71,22 @@ def render(template: Column, values: Column) -> Column:
 def guarded_moves(moves: DataFrame) -> DataFrame:
     """moves (sku, seq, kind IN, OUT, REL, ADJ or WR, qty) to (sku, on_hand, allocated, refused): each move holds against the state before it.
 
-    The guards depend on order, so a stock number's moves are folded together; its moves have to fit in a task.
+    The guards depend on order, so a stock number's moves are folded together; its moves have to fit in a row.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        rows = batches.sort_values("seq")
-        on_hand = allocated = refused = 0
-        for kind, qty in zip(rows["kind"], rows["qty"], strict=True):
-            if kind == "IN" and qty > 0:
-                on_hand += qty
-            elif kind == "OUT" and 0 < qty <= on_hand - allocated:
-                allocated += qty
-            elif kind == "REL" and 0 < qty <= allocated:
-                allocated -= qty
-            elif kind == "ADJ" and on_hand + qty >= allocated:
-                on_hand += qty
-            elif kind == "WR" and 0 < qty <= on_hand - allocated:
-                on_hand -= qty
-            else:
-                refused += 1
-        return pd.DataFrame([(rows["sku"].iloc[0], on_hand, allocated, refused)], columns=["sku", "on_hand", "allocated", "refused"])
-
-    return moves.groupBy("sku").applyInPandas(fold, "sku string, on_hand long, allocated long, refused long")
+    zero = F.lit(0).cast("long")
+
+    def fold(s: Column, m: Column) -> Column:
+        kind, q, free = m["kind"], m["qty"], s["on_hand"] - s["allocated"]
+        to = lambda on_hand, allocated, refused: F.struct(on_hand.alias("on_hand"), allocated.alias("allocated"), refused.alias("refused"))
+        return (
+            F.when((kind == "IN") & (q > 0), to(s["on_hand"] + q, s["allocated"], s["refused"]))
+            .when((kind == "OUT") & (q > 0) & (q <= free), to(s["on_hand"], s["allocated"] + q, s["refused"]))
+            .when((kind == "REL") & (q > 0) & (q <= s["allocated"]), to(s["on_hand"], s["allocated"] - q, s["refused"]))
+            .when((kind == "ADJ") & (s["on_hand"] + q >= s["allocated"]), to(s["on_hand"] + q, s["allocated"], s["refused"]))
+            .when((kind == "WR") & (q > 0) & (q <= free), to(s["on_hand"] - q, s["allocated"], s["refused"]))
+            .otherwise(to(s["on_hand"], s["allocated"], s["refused"] + 1))
+        )
+
+    rows = moves.groupBy("sku").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", F.col("qty").cast("long").alias("qty")))).alias("m"))
+    start = F.struct(zero.alias("on_hand"), zero.alias("allocated"), zero.alias("refused"))
+    return rows.select("sku", F.aggregate("m", start, fold).alias("s")).select("sku", "s.on_hand", "s.allocated", "s.refused")

@@ -1,55 +1,106 @@
-"""Contracts over literal rows: no table of the driver holds replies, transactions or order texts."""
+"""Contracts of replies, transactions, orders, rows and templates over texts written from the tables: their faults follow from the keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalog import register
 from tessella.functions.business import REGIONS
+from tessella.functions.text import tests_run
+from tessella.operators import candidates
 from tessella.operators import contracts as c
+from tessella.sources.tables import table
 
 
-@register("reply_contract", """SELECT * FROM (VALUES (1, '{"a": 1}'), (2, '{"a": 1}'), (3, NULL), (4, NULL), (5, NULL)) t(id, payload)""")
+def said(*parts: str | Column) -> Column:
+    """Parts one after the other; texts stand for themselves."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@register("reply_contract", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 < 2 THEN '{"key": ' || o_orderkey || '}' END AS payload FROM orders""")
 def reply_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, '```json\n{"a": 1}\n```'), (2, '{"a": 1}'), (3, "null"), (4, "no json"), (5, "{" + "x" * 40_000)], "id int, text string")
-    return rows.select("id", c.reply(F.col("text")).alias("payload"))
+    """Replies in a fence, bare, null, no JSON, too long, and a list."""
+    k = F.col("o_orderkey")
+    way, whole = k % 6, said('{"key": ', k, "}")
+    text = F.when(way == 0, said("```json\n", whole, "\n```")).when(way == 1, whole).when(way == 2, "null").when(way == 3, said("no json ", k)).when(way == 4, said("{", F.repeat(F.lit("x"), 40_000))).otherwise(said("[", k, "]"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), c.reply(text).alias("payload"))
 
 
-@register("transaction_faults", "SELECT * FROM (VALUES (1, NULL), (2, 'region'), (3, 'path'), (4, 'sites'), (5, NULL)) t(tx, fault)")
+@register("transaction_faults", "SELECT l_orderkey AS tx, CASE WHEN bool_or(l_linenumber = 7) THEN 'path' WHEN bool_or(l_returnflag = 'R') THEN 'region' END AS fault FROM lineitem GROUP BY 1")
 def transaction_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("a/x.rs", "one two one"), ("b/x.rs", "three"), ("b/y.rs", "four")], "path string, text string")
-    sites = [(1, "a/x.rs", "two", "h"), (2, "a/x.rs", "one", "h"), (3, "x.rs", "three", "h"), (5, "y.rs", "four", "h"), *[(4, "b/y.rs", "four", "h")] * 17]
-    return c.transaction_fault(spark.createDataFrame(sites, "tx int, path string, region string, helper string"), files)
+    """Sites of an order's lines: paths whole or by file name, a seventh line names no file, returned lines a region that stands twice."""
+    p, k = F.col("p_partkey"), F.col("l_partkey")
+    files = table(spark, sf_dir, "part").select(said("a/p", p, ".rs").alias("path"), said("one two", p, " one").alias("text"))
+    path = F.when(F.col("l_linenumber") == 7, "gone.rs").when(F.col("l_linenumber") % 2 == 1, said("a/p", k, ".rs")).otherwise(said("p", k, ".rs"))
+    region = F.when(F.col("l_returnflag") == "R", "one").otherwise(said("two", k))
+    sites = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx"), path.alias("path"), region.alias("region"), F.lit("fn h() {}").alias("helper"))
+    return c.transaction_fault(sites, files)
 
 
-@register("off_rails", "SELECT * FROM (VALUES ('lib/c.py', 'unused'), ('lib/c.py', 'short')) t(path, name)")
+@register("off_rails", "SELECT 'lib' || p_partkey % 10 || '/sub/c.py' AS path, CASE WHEN p_partkey % 4 = 1 THEN 'sh' ELSE 'unused' || p_partkey END AS name FROM part WHERE p_partkey % 10 <> 3 AND p_partkey % 4 <> 0")
 def off_rails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("plug/load.py", "import importlib"), ("lib/c.py", "x")], "path string, text string")
-    found = spark.createDataFrame([("plug/sub/a.py", "unused"), ("lib/c.py", "unused"), ("lib/c.py", "handle_get"), ("lib/c.py", "short")], "path string, name string")
-    return c.off_rails(found, c.blocked_folders(files), spark.createDataFrame([("handle_",), ("sh",)], "value string"))
+    """Names below a folder that looks modules up, names that begin as a text does, and others."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, said("handle_", k)).when(k % 4 == 1, "sh").otherwise(said("unused", k))
+    found = table(spark, sf_dir, "part").select(said("lib", k % 10, "/sub/c.py").alias("path"), name.alias("name"))
+    files = spark.sql("SELECT 'lib3/load.py' AS path, 'import pkgutil' AS text UNION ALL SELECT 'lib4/x.py', 'my_pkgutils = 1'")
+    return c.off_rails(found, candidates.blocked_folders(files), spark.sql("SELECT 'handle_get' AS value UNION ALL SELECT 'sh'"))
 
 
-@register("order_texts", "SELECT * FROM (VALUES (1, 'WID-000101', 5), (1, 'PRT-000201', 2)) t(id, sku, qty)")
+@register("order_texts", "WITH g AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING max(l_quantity) <= 48) SELECT l_orderkey AS id, 'WID-' || l_partkey AS sku, CAST(l_quantity AS BIGINT) AS qty FROM lineitem JOIN g USING (l_orderkey)")
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "# order\nwid-000101,5\n\n PRT-000201, 2\n"), (2, "WID-000101,0"), (3, "WID-000101")], "id int, text string")
-    return rows.select("id", F.explode(c.order_lines(F.col("text"))).alias("x")).select("id", "x.sku", F.col("x.qty").cast("int").alias("qty"))
+    """Orders as texts of a line a stock number, under a comment; one line that is broken breaks its order."""
+    line = F.when(F.col("l_quantity") > 48, said("wid-", F.col("l_partkey"))).otherwise(said(" wid-", F.col("l_partkey"), ",", F.col("l_quantity").cast("long"), " "))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(line).alias("lines"))
+    text = said("# order ", F.col("id"), "\n\n", F.array_join("lines", "\n"), "\n")
+    return rows.select("id", F.explode(c.order_lines(text)).alias("x")).select("id", "x.sku", "x.qty")
 
 
-@register("row_faults", "SELECT * FROM (VALUES (1, ''), (2, 'date,region'), (3, 'category,amount')) t(id, faults)")
+@register("row_faults", """SELECT o_orderkey AS id, array_to_string(list_filter([CASE WHEN o_orderkey % 4 = 0 THEN 'date' END, CASE WHEN o_orderkey % 3 = 0 THEN 'category' END, CASE WHEN o_orderkey % 5 = 0 THEN 'region' END, CASE WHEN o_orderkey % 7 = 0 THEN 'amount' END], lambda x: x IS NOT NULL), ',') AS faults FROM orders""")
 def row_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "2016-02-31", "travel", "NA", 1.0), (2, "2016-13-01", "travel", "MARS", 1.0), (3, "2016-01-01", "", "EMEA", None)], "id int, d string, k string, r string, a double")
-    return rows.select("id", F.array_join(c.row_faults(F.col("d"), F.col("k"), F.col("r"), F.col("a"), REGIONS), ",").alias("faults"))
+    k = F.col("o_orderkey")
+    day = F.when(k % 8 == 0, "2016-13-01").when(k % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    faults = c.row_faults(day, F.when(k % 3 != 0, F.col("o_orderpriority")), F.when(k % 5 == 0, "MARS").otherwise("EMEA"), F.when(k % 7 != 0, F.col("o_totalprice")), REGIONS)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.array_join(faults, ",").alias("faults"))
 
 
-@register("templates", "SELECT * FROM (VALUES (1, 'Hi {{b}}!'), (2, NULL), (3, NULL), (4, 'plain')) t(id, text)")
+@register("templates", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Hi ' || c_name || '{{b}}, ' || c_mktsegment || '!' WHEN 3 THEN 'plain ' || c_custkey END AS text FROM customer")
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Hi {{ a }}!"), (2, "{{missing}}"), (3, "{{a"), (4, "plain")], "id int, t string")
-    return rows.select("id", c.render(F.col("t"), F.create_map(F.lit("a"), F.lit("{{b}}"))).alias("text"))
+    """Templates whose values hold braces, with a name that is missing, with a brace left open, and without names."""
+    k = F.col("c_custkey")
+    text = F.when(k % 4 == 0, "Hi {{ name }}, {{segment}}!").when(k % 4 == 1, "{{missing}}").when(k % 4 == 2, "{{name").otherwise(said("plain ", k))
+    values = F.create_map(F.lit("name"), said(F.col("c_name"), "{{b}}"), F.lit("segment"), F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), c.render(text, values).alias("text"))
+
+
+MOVES = ["IN", "OUT", "REL", "ADJ", "WR"]
 
 
-@register("guarded_moves", "SELECT * FROM (VALUES ('A', 7, 2, 2), ('B', 0, 0, 1)) t(sku, on_hand, allocated, refused)")
+@register("guarded_moves", """WITH m AS (SELECT l_partkey AS sku, l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 5 AS kind, CAST(l_quantity AS BIGINT) * CASE WHEN (l_orderkey + l_linenumber) % 5 = 3 AND l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS q FROM lineitem),
+g AS (SELECT sku, list({'k': kind, 'q': q} ORDER BY l_orderkey, l_linenumber, q) AS moves FROM m GROUP BY sku),
+f AS (SELECT sku, list_reduce(moves, lambda s, x: CASE
+ WHEN x.k = 0 AND x.q > 0 THEN {'h': s.h + x.q, 'a': s.a, 'r': s.r} WHEN x.k = 1 AND x.q > 0 AND x.q <= s.h - s.a THEN {'h': s.h, 'a': s.a + x.q, 'r': s.r} WHEN x.k = 2 AND x.q > 0 AND x.q <= s.a THEN {'h': s.h, 'a': s.a - x.q, 'r': s.r}
+ WHEN x.k = 3 AND s.h + x.q >= s.a THEN {'h': s.h + x.q, 'a': s.a, 'r': s.r} WHEN x.k = 4 AND x.q > 0 AND x.q <= s.h - s.a THEN {'h': s.h - x.q, 'a': s.a, 'r': s.r} ELSE {'h': s.h, 'a': s.a, 'r': s.r + 1} END, {'h': 0::BIGINT, 'a': 0::BIGINT, 'r': 0::BIGINT}) AS s FROM g)
+SELECT sku, s.h AS on_hand, s.a AS allocated, s.r AS refused FROM f""")
 def guarded_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = [("A", 1, "IN", 10), ("A", 2, "OUT", 4), ("A", 3, "OUT", 7), ("A", 4, "REL", 2), ("A", 5, "WR", 3), ("A", 6, "ADJ", -6), ("B", 1, "OUT", 1)]
-    rows = c.guarded_moves(spark.createDataFrame(moves, "sku string, seq int, kind string, qty long"))
-    return rows.select("sku", *[F.col(x).cast("int").alias(x) for x in ("on_hand", "allocated", "refused")])
+    """Order lines as stock moves of their part, in order of orders and lines."""
+    kind = F.get(F.array(*[F.lit(m) for m in MOVES]), ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).cast("int"))
+    qty = F.col("l_quantity").cast("long") * F.when((kind == "ADJ") & (F.col("l_linenumber") % 2 == 0), -1).otherwise(1)
+    seq = F.struct("l_orderkey", "l_linenumber", qty.alias("q"))
+    return c.guarded_moves(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sku"), seq.alias("seq"), kind.alias("kind"), qty.alias("qty")))
+
+
+RUNS = [
+    ("= {a} passed, {b} failed in 1.2s =", "{a} + {b}"), ("test result: ok. {a} passed; {b} failed; 0 ignored|test result: ok. 2 passed; 0 failed; 0 ignored", "{a} + {b} + 2"),
+    ("ℹ tests 1|ℹ tests {a}", "{a}"), ("Tests: {a} total", "{a}"), ("no tests ran in 0.1s", "0"), ("killed", "NULL"),
+]
+
+
+@register("tests_run", "SELECT o_orderkey AS id, CAST(CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN {e.format(a='(o_orderkey % 100)', b='(o_custkey % 10)')}" for i, (_, e) in enumerate(RUNS)) + " END AS BIGINT) AS n FROM orders")
+def tests_run_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, out = F.col("o_orderkey"), F.lit(None).cast("string")
+    for i, (form, _) in enumerate(RUNS):
+        text = F.replace(F.replace(F.replace(F.lit(form), F.lit("{a}"), (k % 100).cast("string")), F.lit("{b}"), (F.col("o_custkey") % 10).cast("string")), F.lit("|"), F.lit("\n"))
+        out = F.when(k % 6 == i, text).otherwise(out)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), tests_run(out).alias("n"))

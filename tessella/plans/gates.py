@@ -77,15 +77,8 @@ def surface_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("multiset_diff", r"""WITH t AS (SELECT lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS token FROM documents), b AS (SELECT token FROM t WHERE lang = 'fr'), a AS (SELECT token FROM t WHERE lang = 'es')
-SELECT token, count(*) AS surplus FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY token HAVING count(*) > 2""")
-def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("lang", F.explode(tokens(F.col("text"))).alias("token"))
-    return multiset_difference(rows.where("lang = 'fr'").drop("lang"), rows.where("lang = 'es'").drop("lang")).where("surplus > 2")
-
-
-@register("multiset_diff_all", r"""WITH t AS (SELECT lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS token FROM documents), b AS (SELECT token FROM t WHERE lang = 'fr'), a AS (SELECT token FROM t WHERE lang = 'es')
 SELECT token, count(*) AS surplus FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY token""")
-def multiset_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("lang", F.explode(tokens(F.col("text"))).alias("token"))
     return multiset_difference(rows.where("lang = 'fr'").drop("lang"), rows.where("lang = 'es'").drop("lang"))
 
@@ -122,8 +115,15 @@ def file_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return start.join(end, "doc_id", "full_outer").where("a is null or b is null").select("doc_id", F.when(F.col("b").isNull(), "gone").otherwise("new").alias("drift"))
 
 
-@register("content_hashes", "SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS tree_sha256, count(DISTINCT sha256(text)) AS distinct_files FROM documents GROUP BY source")
+#: Documents whose hashes are put together at a time.
+RANGE = 4096
+
+
+@register("content_hashes", f"WITH r AS (SELECT source, doc_id // {RANGE} AS part, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL), d AS (SELECT source, count(DISTINCT sha256(text)) AS distinct_files FROM documents GROUP BY 1) SELECT source, sha256(string_agg(h, '' ORDER BY part)) AS tree_sha256, any_value(distinct_files) AS distinct_files FROM r JOIN d USING (source) GROUP BY source")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of a source's documents in order: ranges of ids are hashed first, so that no task holds all hashes of a source."""
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"])
-    return rows.groupBy("source").agg(F.sha2(F.array_join(ordered, ""), 256).alias("tree_sha256"), F.countDistinct("h").alias("distinct_files"))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), ""), 256)
+    parts = rows.groupBy("source", F.floor(F.col("doc_id") / RANGE).alias("part")).agg(joined("doc_id").alias("h"))
+    distinct = rows.groupBy("source").agg(F.countDistinct("h").alias("distinct_files"))
+    return parts.groupBy("source").agg(joined("part").alias("tree_sha256")).join(distinct, "source")

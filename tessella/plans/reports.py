@@ -103,13 +103,8 @@ def layer_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", v.alias("size"), (F.lag(v).over(w) - v).alias("saved"), (v < F.lag(v).over(w)).alias("committed"))
 
 
-@register("rule_histogram", r"SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '[ \t\n\v\f\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2 HAVING count(*) >= 20")
+@register("rule_histogram", r"SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '[ \t\n\v\f\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2")
 def rule_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
-
-
-@register("rule_histogram_all", r"SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '[ \t\n\v\f\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2")
-def rule_histogram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 

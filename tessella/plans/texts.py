@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.catalog import register
 from tessella.functions import text as t
 from tessella.operators import masking
+from tessella.operators.candidates import numbered
 from tessella.sources.tables import table
 
 WORDS = r"list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '')"
@@ -31,10 +32,10 @@ def reading_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", t.reading_seconds(F.size("w"), 200).alias("seconds"), (chars / F.greatest(F.size("w"), F.lit(1))).alias("avg_word_length"))
 
 
-@register("word_freq", rf"WITH w AS (SELECT unnest(string_split_regex(lower(text), '[ \t\n\v\f\r]+')) AS word FROM documents) SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS rank FROM w WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 100")
+@register("word_freq", r"WITH w AS (SELECT unnest(string_split_regex(lower(text), '[ \t\n\v\f\r]+')) AS word FROM documents) SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS rank FROM w WHERE word <> '' GROUP BY word")
 def word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.explode(t.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(100)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "word")).cast("long"))
+    rows = table(spark, sf_dir, "documents").select(F.explode(t.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return numbered(rows, [F.desc("n"), "word"], "rank")
 
 
 @register("char_freq", "WITH c AS (SELECT unnest(string_split(lower(text), '')) AS c FROM documents) SELECT c, count(*) AS n FROM c GROUP BY c")
@@ -62,25 +63,10 @@ def reversed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", t.reverse_words(F.col("text")).alias("reversed"), t.is_blank(F.col("text")).alias("blank"))
 
 
-OUTPUTS = ["no tests ran in 0.1s", "5 passed, 2 failed", "test result: ok. 7 passed; 1 failed\ntest result: ok. 3 passed", "ℹ tests 12\nℹ tests 14", "\nTests: 9 passed", "nothing", ""]
-
-
-@register("tests_run", "SELECT * FROM (VALUES (0, 0), (1, 7), (2, 11), (3, 14), (4, 9), (5, NULL), (6, NULL)) t(id, tests)")
-def tests_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(OUTPUTS)), "id int, output string")
-    return rows.select("id", t.tests_run(F.col("output")).cast("int").alias("tests"))
-
-
-@register("loc_c_like", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '' AND NOT starts_with(ltrim(x), '//'))) AS code, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(ltrim(x), '//'))) AS comment, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) = '')) AS blank FROM documents WHERE NOT contains(text, '/*')")
-def loc_c_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("/*"))).select("doc_id", t.c_like_lines(F.col("text")).alias("c"))
-    return rows.select("doc_id", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("code", "comment", "blank")])
-
-
 C_LINE = "trim(x.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
-@register("loc_c_like_all", f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda y: {{'line': y, 'inside': false, 'code': 0, 'comment': 0, 'blank': 0}}) AS l FROM documents),
+@register("loc_c_like", f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda y: {{'line': y, 'inside': false, 'code': 0, 'comment': 0, 'blank': 0}}) AS l FROM documents),
 p AS (SELECT doc_id, list_transform(l, lambda x: {{'line': {C_LINE}, 'inside': x.inside, 'code': x.code, 'comment': x.comment, 'blank': x.blank}}) AS l FROM l),
 r AS (SELECT doc_id, list_reduce(list_prepend({{'line': '', 'inside': false, 'code': 0, 'comment': 0, 'blank': 0}}, l), lambda a, x: CASE
  WHEN x.line = '' THEN {{'line': '', 'inside': a.inside, 'code': a.code, 'comment': a.comment, 'blank': a.blank + 1}}
@@ -91,11 +77,23 @@ r AS (SELECT doc_id, list_reduce(list_prepend({{'line': '', 'inside': false, 'co
  WHEN starts_with(x.line, '//') THEN {{'line': '', 'inside': false, 'code': a.code, 'comment': a.comment + 1, 'blank': a.blank}}
  ELSE {{'line': '', 'inside': false, 'code': a.code + 1, 'comment': a.comment, 'blank': a.blank}} END) AS r FROM p)
 SELECT doc_id, CAST(r.code AS BIGINT) AS code, CAST(r.comment AS BIGINT) AS comment, CAST(r.blank AS BIGINT) AS blank FROM r""")
-def loc_c_like_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loc_c_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", t.c_like_lines(F.col("text")).alias("c"))
     return rows.select("doc_id", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("code", "comment", "blank")])
 
 
+#: Sources with block comments, written from parts: a block of as many lines as the size says, code behind its end for even parts, a block that opens behind code for every third.
+@register("loc_blocks", "SELECT p_partkey AS k, 2 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS code, p_size % 7 + 1 + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END + 1 AS comment, 2 AS blank FROM part")
+def loc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, more = F.col("p_partkey"), (F.col("p_size") % 7).cast("int")
+    text = F.concat(
+        F.lit("/* head\n"), F.repeat(F.lit(" * more\n"), more), F.when(k % 2 == 0, " */ let a = 1;\n").otherwise(" */\n"), F.lit("\n"),
+        F.when(k % 3 == 0, "let b = 2; /* opens\n").otherwise("let b = 2;\n"), F.lit("let c = 3; // why\n// note\n"),
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", t.c_like_lines(text).alias("c"))
+    return rows.select(F.col("p_partkey").alias("k"), *[F.col(f"c.{x}").cast("long").alias(x) for x in ("code", "comment", "blank")])
+
+
 @register("mask_roundtrip", "SELECT page_id, len(regexp_extract_all(html, '<p>[^<]*</p>')) AS masked, true AS restored FROM pages")
 def mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = masking.mask(table(spark, sf_dir, "pages"), "html", "<p>[^<]*</p>")

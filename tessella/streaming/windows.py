@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import shared_folder
+
 
 def tumbling(events: DataFrame, every: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and sums in cents by window and type; a batch or a stream, on a stream with late rows up to a watermark."""
@@ -30,8 +31,9 @@ def run_to_end(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).schema
     raw = spark.readStream.schema(spark.read.parquet(path).schema).format("parquet").option("pathGlobFilter", f"{name}.parquet").load(folder)
     stream = raw.withColumn("ts", F.col("ts").cast(schema["ts"].dataType))
-    view = f"stream_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
-    query = tumbling(stream).writeStream.format("memory").queryName(view).outputMode("complete").option("checkpointLocation", f"{base}/{view}").trigger(availableNow=True).start()
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    result = tumbling(stream)
+    # the result of the last batch is the whole one; it is written by the executors and not gathered
+    query = result.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/result")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(view)
+    return spark.read.schema(result.schema).parquet(f"{out}/result")
