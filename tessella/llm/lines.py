@@ -1,4 +1,4 @@
-"""Line dedup as an exact set-similarity join.
+"""Line dedup as an exact set-similarity join, in DataFrame operations only.
 
 A line's tokens are its distinct windows of k words (A-Z in lower case), hashed. Tokens are ordered by rarity: by bucket
 counts over the tokens of all lines, then by hash. Two lines of Jaccard similarity t or more share a token among the first
@@ -9,11 +9,11 @@ whether that one stays or not. So what stays does not depend on the order of the
 Lines of equal sets are one line to the join, known by two hashes of the set and its size, with the earliest as its place
 (doc_id, hash of the text, line number). One earlier match is enough, so no group lists its pairs: in each group that
 shares a token every line first meets the group's earliest; only lines that this leaves unmatched meet the earlier others.
-Documents of verified pairs are re-read; a bitmap skips most others, or a join where there are too many for one.
-Intermediate tables are deleted when the result is written.
+Sets of so few tokens that only equal ones are similar are not joined at all. A set that more than one line in SHARE has
+is listed once, and there are at most SHARE such sets, which are broadcast; others are listed once a line.
 
-Words are hashed and windows ordered in numpy, batch by batch; joins and decisions are DataFrame operations. A form in
-DataFrame operations alone came first; README.md has its figures.
+Windows are hashed once and written with their lines; what follows reads them back. The driver gets the rarity classes of
+BUCKETS buckets as one text. Intermediate tables are deleted when the result is written.
 
 Defined results: lines are what line feeds separate; a line of fewer than k words has its whole sequence as only token, so
 it goes where an earlier line is equal; lines of fewer than min_words words, blank ones among them, stay; null texts have
@@ -25,161 +25,117 @@ they are called; texts are read whole.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+import string
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, scratch, settle, unused
-from .lanes import U, Words, chunks, distinct, mix, ordered
-from .ngram import _SEEDS, BUCKETS, SHIFT, SLICE, _able, _by_doc, _even, _least, _lists, _pack, _rarity, hit, reread
-
-PARITY, REMEMBERED, _LOW = 256, 200_000, (1 << 64) - 1
-
-
-class Lines:
-    """Lines of at least min_words words of a chunk: doc (index in the chunk), line (number), and their tokens by (row, hash)."""
-
-    def __init__(self, w: Words, k: int, min_words: int):
-        breaks = np.flatnonzero(w.data == 10)
-        at = np.sort(np.concatenate([w.offsets[:-1], breaks + 1]))
-        first = np.searchsorted(w.start, at)
-        count = np.diff(np.append(first, len(w.start)))
-        doc = np.searchsorted(w.offsets, at, "right") - 1
-        # where an empty line or text ends at a text's start, the last entry is that text's first line, and the others have no words
-        number = np.arange(len(at)) - (np.searchsorted(at, w.offsets[:-1], "right") - 1)[np.minimum(doc, len(w.count) - 1)]
-        rows = np.flatnonzero(count >= min_words)
-        self.doc, self.line = doc[rows], number[rows]
-        place = np.full(len(at), -1)
-        place[rows] = np.arange(len(rows))
-        owner = place[np.repeat(np.arange(len(at)), count)]
-        n = len(owner) - k + 1
-        begin = np.flatnonzero((owner[:n] >= 0) & (owner[:n] == owner[k - 1 :])) if n > 0 else np.empty(0, np.int64)
-        token, row = w._window(begin, k), owner[begin]
-        for size in range(min_words, k):
-            short = rows[count[rows] == size]
-            token = np.concatenate([token, w._window(first[short], size)])
-            row = np.concatenate([row, place[short]])
-        self.row, self.token = distinct(row, token)
-        self.n, self.first = _by_doc(self.row, len(rows))
-
-    def signature(self, i: int) -> np.ndarray:
-        return np.add.reduceat(mix(self.token ^ _SEEDS[i]), self.first[:-1]).view(np.int64) if len(self.n) else np.empty(0, np.int64)
-
-
-def _summary(k: int, min_words: int):
-    """Rows of lines (doc_id, h, line, n, sig_a, sig_b), and for each task packed counts of its tokens by bucket (n: slice of buckets)."""
-    names = ["is_doc", "doc_id", "h", "line", "n", "sig_a", "sig_b", "counts"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, kind = np.zeros(BUCKETS, np.int64), None
-        for batch in batches:
-            kind = batch.column(0).type
-            for begin, w in chunks(batch.column(1), lower=True):
-                x = Lines(w, k, min_words)
-                seen += np.bincount((x.token >> SHIFT).astype(np.int64), minlength=BUCKETS)
-                ids = [batch.column(i).take(pa.array(x.doc + begin)) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x.n), bool)), *ids, pa.array(x.line.astype(np.int32)), pa.array(x.n), pa.array(x.signature(0)), pa.array(x.signature(1)), pa.nulls(len(x.n), pa.binary())], names)
-        if kind is not None:
-            slices, task = BUCKETS // SLICE, int.from_bytes(os.urandom(4))
-            packed = [_pack(x) for x in seen.reshape(slices, SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(slices, bool)), pa.nulls(slices, kind), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.array(np.arange(slices)), pa.array(np.full(slices, task)), pa.nulls(slices, pa.int64()), pa.array(packed, pa.binary())], names)
-
-    return run
-
-
-def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
-    """Rows (sig_a, sig_b, n, p1: first tokens by rarity, bits) of lines; a task gives a line that it remembers once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, w in chunks(batch.column(0), lower=True):
-                x = Lines(w, k, min_words)
-                order = ordered(x.row, rarity[(x.token >> SHIFT).astype(np.int64)], x.token)
-                values, taken = _lists(x.token.view(np.int64), x.first, x.n, _least(x.n, percent), order)
-                odd = np.bincount(x.row * PARITY + (mix(x.token ^ _SEEDS[2]) & U(PARITY - 1)).astype(np.int64), minlength=len(x.n) * PARITY) & 1
-                bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
-                p1 = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(values))
-                fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(x.n) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(bits))
-                sig, other = x.signature(0), x.signature(1)
-                new = np.array([not (s in seen or seen.add(s)) for s in (a << 64 | b & _LOW for a, b in zip(sig.tolist(), other.tolist(), strict=True))], bool)
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(other), pa.array(x.n), p1, fixed], ["sig_a", "sig_b", "n", "p1", "bits"]).filter(pa.array(new))
-
-    return run
-
-
-def _sets(k: int, min_words: int, bitmap: np.ndarray | None):
-    """Rows (id, line, tokens) of the lines of documents that the bitmap marks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if bitmap is not None:
-                batch = batch.filter(hit(bitmap, batch.column(2)))
-            for begin, w in chunks(batch.column(1), lower=True):
-                x = Lines(w, k, min_words)
-                tokens = pa.ListArray.from_arrays(pa.array(x.first.astype(np.int32)), pa.array(x.token.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.doc + begin)), pa.array(x.line.astype(np.int32)), tokens], ["id", "line", "tokens"])
-
-    return run
-
-
-#: What tells the sets of lines apart.
-KEY = ["sig_a", "sig_b", "n"]
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, min_words: int, kind: str) -> DataFrame:
+from .base import SPACES, few, scratch, settle, unused
+
+#: Bits of the counted buckets of tokens; share of all lines above which a set is listed once; repeats below which it never is.
+BUCKET_BITS, SHARE, REPEATS = 16, 100_000, 1000
+#: Where a line is, and what tells the sets of lines apart.
+PLACE, KEY = ["doc_id", "h", "line"], ["sig_a", "sig_b", "n"]
+
+
+def _once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """keep and value, which a generator keeps from being computed again for every use."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
+def _tokens(docs: DataFrame, k: int, min_words: int) -> DataFrame:
+    """docs (doc_id, text, h) to a row per line of at least min_words words: PLACE, KEY, parity (bits) and tokens (sorted)."""
+    lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    ascii_ = F.octet_length("t") == F.length("t")
+    low = F.when(ascii_, F.lower("t")).otherwise(F.translate("t", string.ascii_uppercase, string.ascii_lowercase))
+    lines = lines.select(*PLACE, F.btrim(low, F.lit(" \t\n\x0b\x0c\r")).alias("t")).where("t <> ''")
+    rows = _once(lines, "w", F.split("t", SPACES), *PLACE).where(F.size("w") >= min_words)
+    window = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)]))
+    found = F.when(F.size("w") >= k, F.sort_array(F.array_distinct(window))).otherwise(F.array(F.xxhash64("w")))
+    rows = _once(rows, "tokens", found, *PLACE)
+    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+    # the second hash starts from another seed, so that it does not follow from the first
+    return rows.select(*PLACE, F.xxhash64("tokens").alias("sig_a"), F.xxhash64(F.lit(7), "tokens").alias("sig_b"), F.size("tokens").cast("long").alias("n"), parity.alias("parity"), "tokens")
+
+
+def _classes(rows: DataFrame) -> Column:
+    """Literal array of the rarity class of each bucket, by how many tokens of all lines fall in it."""
+    size = 1 << BUCKET_BITS
+    bucket = F.shiftrightunsigned("token", 64 - BUCKET_BITS).alias("bucket")
+    counts = rows.select(F.explode("tokens").alias("token")).groupBy(bucket).agg(F.round(2 * F.log2(F.count(F.lit(1)) + 1)).cast("int").alias("class"))
+    every = rows.sparkSession.range(size).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("class", F.lit(0)).alias("class"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"].cast("string"))
+    text = every.agg(F.array_join(listed, ",").alias("classes")).first()["classes"]
+    return F.split(F.lit(text), ",").cast("array<int>")
+
+
+def _prefix(classes: Column, percent: int) -> Column:
+    """The first tokens of a line by rarity: the class stands above the hash."""
+    ranked = F.transform("tokens", lambda t: F.shiftleft(F.get(classes, F.shiftrightunsigned(t, 64 - BUCKET_BITS).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8)))
+    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return F.slice(F.sort_array(ranked), F.lit(1), keep.cast("int"))
+
+
+def _able(n: Column, pos: Column, m: Column, other: Column, percent: int) -> Column:
+    """Length and positional filter for two sets that share a token at these positions of the order."""
+    most = F.least(pos, other) + 1 + F.least(n - pos - 1, m - other - 1)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
+
+
+def _even(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
+    """Whether parity bits differ in no more places than two similar sets of n and m tokens could."""
+    return F.bit_count(a.bitwiseXOR(b)) <= n + m - 2 * F.ceil(percent * (n + m) / (100 + percent))
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """KEY of the later lines of those pairs (KEY, x, y), x and y places of lines, whose sets are similar."""
     pairs = settle(pairs.distinct(), "lines-pairs")
-    ends = settle(pairs.select(F.explode(F.array("x", "y")).alias("e")).select(F.struct("e.doc_id", "e.h").alias("id"), "e.line").distinct(), "lines-ends")
-    sets = reread(docs.select(F.struct("doc_id", "h").alias("id"), "text"), ends.select("id").distinct(), lambda bitmap: _sets(k, min_words, bitmap), f"id struct<doc_id:{kind},h:bigint>, line int, tokens array<bigint>")
-    sets = settle(sets.join(ends, ["id", "line"], "left_semi").dropDuplicates(["id", "line"]), "lines-sets")
-    side = lambda c: sets.select(F.struct("id.doc_id", "id.h", "line").alias(c), F.col("tokens").alias(f"s{c}"))
+    ends = settle(pairs.select(F.explode(F.array("x", "y")).alias("e")).select("e.*").distinct(), "lines-ends")
+    sets = settle(rows.select(*PLACE, "tokens").join(few(ends), PLACE, "left_semi").dropDuplicates(PLACE), "lines-sets")
+    side = lambda c: sets.select(F.struct(*PLACE).alias(c), F.col("tokens").alias(f"s{c}"))
     both = F.size(F.array_intersect("sx", "sy"))
     found = pairs.join(side("x"), "x").join(side("y"), "y").where(100 * both >= percent * (F.size("sx") + F.size("sy") - both))
     return settle(found.select(*KEY).distinct(), "lines-late")
 
 
+def _least(percent: int) -> int:
+    """Tokens that a set has at least if another, different one can be similar to it."""
+    return -(-percent * -(-100 // (100 - percent)) // 100) if percent < 100 else 1 << 62
+
+
 def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame:
     """docs (doc_id, text, h) to (doc_id, h, removed): numbers of the lines that go, of documents that lose any."""
-    kind = docs.dtypes[0][1]
-    known = docs.where("doc_id is not null")
-    summary = settle(arrow_map(known, _summary(k, min_words), f"is_doc boolean, doc_id {kind}, h long, line int, n long, sig_a long, sig_b long, counts binary"), "lines-summary")
-    rarity = _rarity(summary)
-    rows = summary.where("is_doc").select("doc_id", "h", "line", *KEY)
-    first = settle(rows.groupBy(*KEY).agg(F.min(F.struct("doc_id", "h", "line")).alias("e")), "lines-first")
-
-    prefixes = settle(arrow_map(known.select("text"), _prefixes(k, percent, min_words, rarity), "sig_a long, sig_b long, n long, p1 array<bigint>, bits array<bigint>"), "lines-prefixes")
-    # number and place in one column, and both signatures: a row for every token of every line's prefix is shuffled
-    listed = prefixes.select("sig_a", "sig_b", "n", F.posexplode("p1").alias("pos", "token")).select("token", "sig_a", "sig_b", F.expr("shiftleft(n, 32) | pos").alias("np"))
-    # a token with one line proposes nothing; one shuffle serves to find the others, and a line is listed once a task at most
+    rows = settle(_tokens(docs.where("doc_id is not null"), k, min_words), "lines-tokens")
+    place = F.struct(*PLACE)
+    first = settle(rows.groupBy(*KEY).agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("c"), F.min("parity").alias("parity")), "lines-first")
+
+    limit = max(REPEATS, (first.agg(F.sum("c").alias("c")).first()["c"] or 0) // SHARE)
+    often = F.broadcast(first.where(F.col("c") > limit).select(*KEY, F.col("e").alias("lone")))
+    long_ = rows.where(F.col("n") >= _least(percent))
+    listed = long_.join(often, KEY, "left").where(F.col("lone").isNull() | (F.col("lone") == place))
+    # number and place in one column: a row for every token of every line's prefix is shuffled
+    listed = listed.select("sig_a", "sig_b", "n", F.posexplode(_prefix(_classes(rows), percent)).alias("pos", "token")).select("token", "sig_a", "sig_b", F.expr("shiftleft(n, 32) | pos").alias("np"))
+    # a token with one line proposes nothing; one shuffle serves to find the others
     group = Window.partitionBy("token")
     differ = (F.min("sig_a").over(group) != F.max("sig_a").over(group)) | (F.min("sig_b").over(group) != F.max("sig_b").over(group))
     member = listed.withColumn("differ", differ).where("differ").groupBy("token", "sig_a", "sig_b").agg(F.min("np").alias("np"))
     member = member.select("token", "sig_a", "sig_b", F.expr("shiftright(np, 32)").alias("n"), F.expr("cast(np & 4294967295 as int)").alias("pos"))
-    member = settle(member.join(first, KEY), "lines-members")
-    sketch = prefixes.join(member.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "bits").dropDuplicates(KEY)
-    member = settle(member.join(sketch, KEY), "lines-sketched")
-    groups = member.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("e", "n", "pos", "bits")).alias("lead"))
+    member = settle(member.join(first.drop("c"), KEY), "lines-members")
+    groups = member.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("e", "n", "pos", "parity")).alias("lead"))
     member = member.join(groups, "token")
     lead = F.col("lead")
-    able = _able(F.col("n"), F.col("pos"), lead.n, lead.pos, percent) & _even(F.col("n"), F.col("bits"), lead.n, lead.bits, percent, PARITY)
+    able = _able(F.col("n"), F.col("pos"), lead.n, lead.pos, percent) & _even(F.col("n"), F.col("parity"), lead.n, lead.parity, percent)
     later = member.where(F.col("e") != lead.e)
-    late = _verified(known, later.where(able).select(*KEY, F.col("e").alias("x"), lead.e.alias("y")), k, percent, min_words, kind)
+    late = _verified(rows, later.where(able).select(*KEY, F.col("e").alias("x"), lead.e.alias("y")), percent)
 
-    probe = later.join(late, KEY, "left_anti").select("token", *KEY, F.col("e").alias("x"), F.col("pos").alias("xpos"), F.col("bits").alias("xbits"))
-    others = later.select("token", F.col("e").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("bits").alias("ybits"))
-    able = _able(F.col("yn"), F.col("ypos"), F.col("n"), F.col("xpos"), percent) & _even(F.col("yn"), F.col("ybits"), F.col("n"), F.col("xbits"), percent, PARITY)
+    probe = later.join(late, KEY, "left_anti").select("token", *KEY, F.col("e").alias("x"), F.col("pos").alias("xpos"), F.col("parity").alias("xparity"))
+    others = later.select("token", F.col("e").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("parity").alias("yparity"))
+    able = _able(F.col("yn"), F.col("ypos"), F.col("n"), F.col("xpos"), percent) & _even(F.col("yn"), F.col("yparity"), F.col("n"), F.col("xparity"), percent)
     rest = probe.join(others, "token").where((F.col("y") < F.col("x")) & able).select(*KEY, "x", "y")
-    late = late.unionByName(_verified(known, rest, k, percent, min_words, kind)).distinct()
+    late = late.unionByName(_verified(rows, rest, percent)).distinct()
 
-    fate = first.join(late.withColumn("late", F.lit(True)), KEY, "left").select(*KEY, "e", F.coalesce("late", F.lit(False)).alias("late"))
-    away = rows.join(fate, KEY).where(F.col("late") | (F.struct("doc_id", "h", "line") != F.col("e")))
+    fate = first.join(late.withColumn("late", F.lit(True)), KEY, "left").where("late or c > 1").select(*KEY, "e", F.coalesce("late", F.lit(False)).alias("late"))
+    away = rows.select(*PLACE, *KEY).join(fate, KEY).where(F.col("late") | (place != F.col("e")))
     return settle(away.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")), "lines-removed", keep=True)
 
 

@@ -85,9 +85,12 @@ def test_ngram_classes(docs, monkeypatch, k, percent, change):
         assert sorted(kept) == sorted(i for i in rows if wanted[i][1] == i)
 
 
-@pytest.mark.parametrize("most", [27, 1])
-def test_line_dedup(docs, monkeypatch, most):
-    monkeypatch.setattr(ngram, "MOST", most)
+@pytest.mark.parametrize("few, repeats", [(500_000, 1000), (-1, 0)])
+def test_line_dedup(docs, monkeypatch, few, repeats):
+    from tessella.llm import base
+
+    monkeypatch.setattr(base, "FEW", few)
+    monkeypatch.setattr(lines, "REPEATS", repeats)
     rows = sorted(set(rows_of(docs)), key=lambda r: r[0])
     later = later_lines(rows)
     found = {r.doc_id: (r.n_lines, r.removed) for r in lines.decide(docs).collect()}
