@@ -23,19 +23,32 @@ def occurs(text: Column, part: Column) -> Column:
     return F.when(part == "", 0).otherwise(((F.length(text) - F.length(F.replace(text, part))) / F.greatest(F.length(part), F.lit(1))).cast("int"))
 
 
+def helper_fault(helper: Column) -> Column:
+    """Why a transaction's helper cannot stand: too long, not one function, public or generic; null if it can."""
+    head = F.substring_index(helper, "{", 1)
+    return (
+        F.when(F.coalesce(helper, F.lit("")) == "", "abstained").when(F.length(helper) > HELPER_CHARS, "helper")
+        .when(F.size(F.regexp_extract_all(helper, F.lit(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s"), F.lit(0))) != 1, "one function")
+        .when(head.rlike(r"\bpub\b"), "private").when(head.rlike(r"\bfn\s+\w+\s*<"), "generic")
+    )
+
+
 def transaction_fault(sites: DataFrame, files: DataFrame) -> DataFrame:
-    """sites (tx, path, region, helper), files (path, text) to (tx, fault): the first rule a transaction breaks, or null.
+    """sites (tx, path, region, anchor, helper), files (path, text) to (tx, fault): the first rule a transaction breaks, or null.
 
-    A path may be given whole, or by a name that only one file has.
+    A path may be given whole, or by a name that only one file has; region and anchor stand in the file exactly once.
     """
     name = F.substring_index("path", "/", -1)
     known = files.select(F.col("path").alias("full"), name.alias("name"), "text")
     lone = known.join(known.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("name"), "name", "left_semi")
     exact = known.select(F.col("full").alias("path"), F.col("text").alias("t1"))
     short = lone.select(F.col("name").alias("path"), F.col("text").alias("t2"))
-    rows = sites.join(exact, "path", "left").join(short, "path", "left").withColumn("n", occurs(F.coalesce("t1", "t2"), F.col("region")))
-    found = rows.groupBy("tx").agg(F.count(F.lit(1)).alias("sites"), F.max(F.length("helper")).alias("chars"), F.bool_or(F.col("n").isNull()).alias("lost"), F.bool_and(F.coalesce(F.col("n") == 1, F.lit(False))).alias("once"))
-    return found.select("tx", F.when(F.col("sites") > SITES, "sites").when(F.col("chars") > HELPER_CHARS, "helper").when(F.col("lost"), "path").when(~F.col("once"), "region").alias("fault"))
+    text = F.coalesce("t1", "t2")
+    rows = sites.join(exact, "path", "left").join(short, "path", "left")
+    rows = rows.withColumns({"n": occurs(text, F.col("region")), "m": occurs(text, F.col("anchor")), "bad": helper_fault(F.col("helper"))})
+    once = lambda c: F.bool_and(F.coalesce(F.col(c) == 1, F.lit(False)))
+    found = rows.groupBy("tx").agg(F.count(F.lit(1)).alias("sites"), F.min("bad").alias("bad"), F.bool_or(text.isNull()).alias("lost"), once("n").alias("once"), once("m").alias("anchored"))
+    return found.select("tx", F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("sites") > SITES, "sites").when(F.col("lost"), "path").when(~F.col("once"), "region").when(~F.col("anchored"), "anchor").alias("fault"))
 
 
 def off_rails(candidates: DataFrame, folders: DataFrame, literals: DataFrame) -> DataFrame:

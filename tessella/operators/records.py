@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,3 +153,14 @@ def cases(values: list[list[str]], limit: int = CASES) -> list[tuple[str, ...]]:
             known.add(tuple(pick))
             found.append(tuple(pick))
     return found
+
+
+def culprits(items: list, passes: Callable[[list], bool]) -> list:
+    """Items without which a check passes, found by halves: a half that fails alone is searched on, and what fails only together is kept whole."""
+    if not items or passes(items):
+        return []
+    if len(items) == 1:
+        return items
+    half = len(items) // 2
+    found = culprits(items[:half], passes) + culprits(items[half:], passes)
+    return found or items

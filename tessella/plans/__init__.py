@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the catalog."""
 
-from . import contract_checks, curation, extensions, gates, records, reports, sources_code, stock, texts  # noqa: F401
+from . import contract_checks, curation, extensions, gates, measures, records, reports, sources_code, stock, texts  # noqa: F401

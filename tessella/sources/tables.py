@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 SKIP = ["node_modules", "target", "dist", "build", ".git", ".venv", "venv", "__pycache__"]
 LANGUAGES = {"py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "rs": "rust"}
 TEST_FOLDERS = ["tests", "test", "__tests__"]
+TEXTS = ["py", "md", "rst", "cfg", "toml", "ini", "txt", "yml", "yaml", "json"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +65,12 @@ def project(tree: DataFrame, exclude: list[str] = []) -> DataFrame:  # noqa: B00
     return rows.select("path", "text", "lang", F.when(is_test(F.col("path")), "test").otherwise("source").alias("role"))
 
 
+def texts(tree: DataFrame) -> DataFrame:
+    """The text files of a scanned tree, without folders that are never scanned or begin with a dot."""
+    shut = F.exists(F.split("path", "/"), lambda p: p.isin(SKIP) | p.startswith("."))
+    return tree.where(suffix(F.col("path")).isin(TEXTS) & ~shut)
+
+
 def main_language(tree: DataFrame) -> DataFrame:
     """One row: the language of a tree, by its manifest, else by most files (ties: name)."""
     rows = tree.where(~F.exists(F.split("path", "/"), lambda p: p.isin(SKIP)))
@@ -96,3 +103,14 @@ def markdown(rows: DataFrame, order: str, limit: int = 1000) -> str:
     shown = rows.orderBy(order).limit(limit).collect()
     head = [f"| {' | '.join(rows.columns)} |", f"|{'---|' * len(rows.columns)}"]
     return "\n".join(head + [f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in shown])
+
+
+def report(rows: DataFrame, valid: Column, order: str, json_path: str) -> str:
+    """Rows as JSON lines at json_path, read back and counted, and as a Markdown table under a line that says whether the run is complete."""
+    rows.write.mode("overwrite").json(json_path)
+    back = rows.sparkSession.read.schema(rows.schema).json(json_path)
+    n = back.agg(F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("ok")).first()
+    if n["n"] != rows.count():
+        raise ValueError(f"{json_path} holds {n['n']} rows, not those reported")
+    whole = "Complete run." if n["ok"] == n["n"] else "INCOMPLETE: do not compare this aggregate with a complete-corpus result."
+    return f"Coverage: {n['ok']}/{n['n']} projects passed. {whole}\n\n{markdown(back, order)}\n"
