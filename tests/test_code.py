@@ -139,3 +139,13 @@ def test_json_lines_round_trip(spark, tmp_path):
     tables.write_split(rows, F.col("ok"), f"{tmp_path}/out")
     back = tables.json_lines(spark, f"{tmp_path}/out", rows.drop("ok").schema)
     assert {(r.id, r.name) for r in back.collect()} == {(1, "a"), (2, "b")}
+
+
+def test_short_protected_texts_are_found(spark):
+    from tessella.plans.curation import hits
+
+    texts = ["one two three four five six seven eight nine ten", "abc", "xabcx", "b", "", "é日 ab", "no match here"]
+    needles = ["two three four five six seven eight nine", "abc", "b", "é日", "bcx", "", "ten", "zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in hits(docs, spark.createDataFrame(list(enumerate(needles)), "item_id long, text string")).collect()}
+    assert found == {(i, j) for i, x in enumerate(texts) for j, n in enumerate(needles) if n and n in x}
