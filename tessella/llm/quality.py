@@ -27,7 +27,8 @@ from .lanes import chunks
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_digits", "n_distinct"]
 _SYMBOL, _LETTER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC2:0xF5] = True  # letters of ASCII and lead bytes of all others
+# letters of ASCII, and lead bytes but those of Latin signs (C2), punctuation and drawing (E2) and emoji (F0 on)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC3:0xE2] = _LETTER[0xE3:0xF0] = True
 _DIGIT[48:58] = True
 #: Rates of the votes -1, 0, 1 of bad and of good documents; drawn towards them by as much as PULL of all documents would.
 PRIOR, PULL = np.array([[0.3, 0.2, 0.5], [0.03, 0.17, 0.8]]), 0.02

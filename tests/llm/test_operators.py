@@ -85,12 +85,9 @@ def test_ngram_classes(docs, monkeypatch, k, percent, change):
         assert sorted(kept) == sorted(i for i in rows if wanted[i][1] == i)
 
 
-@pytest.mark.parametrize("few, repeats", [(500_000, 1000), (-1, 0)])
-def test_line_dedup(docs, monkeypatch, few, repeats):
-    from tessella.llm import base
-
-    monkeypatch.setattr(base, "FEW", few)
-    monkeypatch.setattr(lines, "REPEATS", repeats)
+@pytest.mark.parametrize("most", [27, 1])
+def test_line_dedup(docs, monkeypatch, most):
+    monkeypatch.setattr(ngram, "MOST", most)
     rows = sorted(set(rows_of(docs)), key=lambda r: r[0])
     later = later_lines(rows)
     found = {r.doc_id: (r.n_lines, r.removed) for r in lines.decide(docs).collect()}
@@ -150,8 +147,12 @@ def test_components(spark):
     for a, b in pairs:
         a, b = sorted((root(a), root(b)))
         top[b] = a
-    found = {r.node: r.label for r in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert all(found.get(x, x) == root(x) for x in top)
+    rows = spark.createDataFrame([*pairs, (None, 1), (1, None), (None, None), pairs[0], pairs[0][::-1]], "a long, b long").withColumns({"u": F.lit(1), "v": F.lit(2), "m": F.lit(3)})
+    found = {r.node: r.label for r in links.components(rows).collect()}
+    assert all(found.get(x, x) == root(x) for x in top) and None not in found
+    assert links.components(rows.limit(0)).count() == 0
+    named = links.components(rows.select(F.lpad(F.col("a").cast("string"), 3, "0").alias("a"), F.lpad(F.col("b").cast("string"), 3, "0").alias("b")))
+    assert {int(r.node): int(r.label) for r in named.collect()} == found
 
 
 def counts(t):
@@ -176,6 +177,11 @@ def test_quality_counts_and_verdict(docs):
     assert got == wanted
 
 
+def test_quality_letters(spark):
+    rows = spark.createDataFrame([(1, "ab é日я"), (2, "🙂┃©…"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.n_letters for r in quality.measure(rows).collect()} == {1: 5, 2: 0, 3: 0}
+
+
 def test_quality_tells_junk(spark, sf_dir):
     marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/../sf0.1/labels.parquet").collect()}
     rows = quality.judge(spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet")).collect()
