@@ -9,7 +9,7 @@ whether that one stays or not. So what stays does not depend on the order of the
 Lines of equal sets are one line to the join, known by two hashes of the set and its size, with the earliest as its place
 (doc_id, hash of the text, line number). One earlier match is enough, so no group lists its pairs: in each group that
 shares a token every line first meets the group's earliest; only lines that this leaves unmatched meet the earlier others.
-Documents of verified pairs are re-read; a bitmap skips most others, or a join where there are too many for one.
+Sets of so few tokens that only equal ones are similar are not joined at all. Documents of verified pairs are re-read; a bitmap skips most others, or a join where there are too many for one.
 Intermediate tables are deleted when the result is written.
 
 Words are hashed and windows ordered in numpy, batch by batch; joins and decisions are DataFrame operations. A form in
@@ -91,6 +91,11 @@ def _summary(k: int, min_words: int):
     return run
 
 
+def _least_size(percent: int) -> int:
+    """Tokens that a set has at least if another, different one can be similar to it."""
+    return -(-percent * -(-100 // (100 - percent)) // 100) if percent < 100 else 1 << 62
+
+
 def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
     """Rows (sig_a, sig_b, n, p1: first tokens by rarity, bits) of lines; a task gives a line that it remembers once."""
 
@@ -107,6 +112,7 @@ def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
                 fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(x.n) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(bits))
                 sig, other = x.signature(0), x.signature(1)
                 new = np.array([not (s in seen or seen.add(s)) for s in (a << 64 | b & _LOW for a, b in zip(sig.tolist(), other.tolist(), strict=True))], bool)
+                new &= x.n >= _least_size(percent)
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(other), pa.array(x.n), p1, fixed], ["sig_a", "sig_b", "n", "p1", "bits"]).filter(pa.array(new))
@@ -152,17 +158,16 @@ def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame
     summary = settle(arrow_map(known, _summary(k, min_words), f"is_doc boolean, doc_id {kind}, h long, line int, n long, sig_a long, sig_b long, counts binary"), "lines-summary")
     rarity = _rarity(summary)
     rows = summary.where("is_doc").select("doc_id", "h", "line", *KEY)
-    first = settle(rows.groupBy(*KEY).agg(F.min(F.struct("doc_id", "h", "line")).alias("e")), "lines-first")
+    first = settle(rows.groupBy(*KEY).agg(F.min(F.struct("doc_id", "h", "line")).alias("e"), F.count(F.lit(1)).alias("c")), "lines-first")
 
     prefixes = settle(arrow_map(known.select("text"), _prefixes(k, percent, min_words, rarity), "sig_a long, sig_b long, n long, p1 array<bigint>, bits array<bigint>"), "lines-prefixes")
-    # number and place in one column, and both signatures: a row for every token of every line's prefix is shuffled
-    listed = prefixes.select("sig_a", "sig_b", "n", F.posexplode("p1").alias("pos", "token")).select("token", "sig_a", "sig_b", F.expr("shiftleft(n, 32) | pos").alias("np"))
+    # few columns: a row for every token of every line's prefix is shuffled. One signature does for proposing; the others come from the join
+    listed = prefixes.select("sig_a", "n", F.posexplode("p1").alias("pos", "token")).select("token", "sig_a", F.expr("shiftleft(n, 32) | pos").alias("np"))
     # a token with one line proposes nothing; one shuffle serves to find the others, and a line is listed once a task at most
     group = Window.partitionBy("token")
-    differ = (F.min("sig_a").over(group) != F.max("sig_a").over(group)) | (F.min("sig_b").over(group) != F.max("sig_b").over(group))
-    member = listed.withColumn("differ", differ).where("differ").groupBy("token", "sig_a", "sig_b").agg(F.min("np").alias("np"))
-    member = member.select("token", "sig_a", "sig_b", F.expr("shiftright(np, 32)").alias("n"), F.expr("cast(np & 4294967295 as int)").alias("pos"))
-    member = settle(member.join(first, KEY), "lines-members")
+    member = listed.withColumn("differ", F.min("sig_a").over(group) != F.max("sig_a").over(group)).where("differ")
+    member = member.groupBy("token", "sig_a", F.expr("shiftright(np, 32)").alias("n")).agg(F.min(F.expr("cast(np & 4294967295 as int)")).alias("pos"))
+    member = settle(member.join(first.drop("c"), ["sig_a", "n"]), "lines-members")
     sketch = prefixes.join(member.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "bits").dropDuplicates(KEY)
     member = settle(member.join(sketch, KEY), "lines-sketched")
     groups = member.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("e", "n", "pos", "bits")).alias("lead"))
@@ -178,7 +183,7 @@ def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame
     rest = probe.join(others, "token").where((F.col("y") < F.col("x")) & able).select(*KEY, "x", "y")
     late = late.unionByName(_verified(known, rest, k, percent, min_words, kind)).distinct()
 
-    fate = first.join(late.withColumn("late", F.lit(True)), KEY, "left").select(*KEY, "e", F.coalesce("late", F.lit(False)).alias("late"))
+    fate = first.join(late.withColumn("late", F.lit(True)), KEY, "left").where("late or c > 1").select(*KEY, "e", F.coalesce("late", F.lit(False)).alias("late"))
     away = rows.join(fate, KEY).where(F.col("late") | (F.struct("doc_id", "h", "line") != F.col("e")))
     return settle(away.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")), "lines-removed", keep=True)
 
