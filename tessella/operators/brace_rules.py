@@ -72,6 +72,34 @@ def joined(t: Tree, node: Node, parts: list[str]) -> str:
     return ("\n" + t.pad(node.start)).join(parts)
 
 
+def shaped(t: Tree, first: int, stop: int, shape: str) -> dict[str, str] | None:
+    """What stands in a shape for its names, where the tokens from first to stop have that shape: $a is one token, $$a all up to the next token outside brackets."""
+    found: dict[str, str] = {}
+    i, parts = first, shape.split()
+    for j, p in enumerate(parts):
+        if p.startswith("$$"):
+            end = i
+            while end < stop and (j + 1 == len(parts) or t.at(end) != parts[j + 1]):
+                end = t.pairs.get(end, end) + 1
+            if end == i or end > stop:
+                return None
+            text, i = t.text(i, end), end
+        elif i >= stop:
+            return None
+        else:
+            text, i = t.at(i), i + 1
+        if p.startswith("$") and found.setdefault(p.lstrip("$"), text) != text or not p.startswith("$") and p != text:
+            return None
+    return found if i == stop else None
+
+
+def spoken(text: str, array: str, counter: str, name: str) -> str | None:
+    """Source with array[counter] called name; null where array, counter or name are used otherwise."""
+    new = re.sub(rf"\b{re.escape(array)}\[{re.escape(counter)}\]", name, text)
+    taken = re.search(rf"(?<![.\w$])(?:{re.escape(array)}|{re.escape(counter)})(?![\w$])", new) or re.search(rf"(?<![.\w$]){name}(?![\w$])", text)
+    return None if taken else new
+
+
 # ---- scripts
 
 
@@ -318,6 +346,55 @@ def undefined_default(t: Tree, block: list[Node], i: int) -> Fit | None:
     return check.end, f"let {name} = {source} === undefined ? {t.text(set_.start + 2, set_.parts['value'][1])} : {source};"
 
 
+COUNT = "for ( let $i = 0 ; $i < $rows . length ; $i ++ ) {"
+
+
+def conditional_summary_loop(t: Tree, block: list[Node], i: int) -> Fit | None:
+    last = following(block, i, 3)
+    found = last and shaped(t, block[i].start, last.end, f"let $n = 0 ; let $sum = 0 ; {COUNT} if ( $$test ) {{ $n = $n + 1 ; $sum = $sum + $$value ; }} }} return {{ count : $n , total : $sum }} ;")
+    kept = found and [spoken(found[k], found["rows"], found["i"], "row") for k in ("test", "value")]
+    if not kept or None in kept or any(re.search(rf"\b(?:{found['n']}|{found['sum']})\b", x) for x in kept):
+        return None
+    name = next(x for x in ("kept", "matching", "chosen") if not uses(t, x))
+    return last.end, joined(t, block[i], [f"const {name} = {found['rows']}.filter(function (row) {{ return {kept[0]}; }});", f"return {{ count: {name}.length, total: {name}.reduce(function ({found['sum']}, row) {{ return {found['sum']} + {kept[1]}; }}, 0) }};"])
+
+
+def validated_sum_loop(t: Tree, block: list[Node], i: int) -> Fit | None:
+    last = following(block, i, 2)
+    found = last and shaped(t, block[i].start, last.end, f"let $sum = 0 ; {COUNT} const $v = $$value ; if ( $$bad ) {{ throw $$error ; }} $sum = $sum + $v ; }} return $sum ;")
+    value = found and spoken(found["value"], found["rows"], found["i"], "row")
+    bare = lambda k: re.sub(r"'[^']*'|\"[^\"]*\"", "", found[k])
+    if not value or any(re.search(rf"\b(?:{found['rows']}|{found['sum']}|row)\b", bare(k)) for k in ("bad", "error")):
+        return None
+    pad = t.pad(block[i].start)
+    return last.end, f"return {found['rows']}.reduce(function ({found['sum']}, row, {found['i']}) {{\n{pad}  const {found['v']} = {value};\n{pad}  if ({found['bad']}) throw {found['error']};\n{pad}  return {found['sum']} + {found['v']};\n{pad}}}, 0);"
+
+
+def guarded_filter_loop(t: Tree, block: list[Node], i: int) -> Fit | None:
+    last = following(block, i, 2)
+    found = last and shaped(t, block[i].start, last.end, f"const $out = [ ] ; {COUNT} const $v = $$value ; if ( $$bad ) {{ throw $$error ; }} if ( $$test ) {{ $out . push ( $rows [ $i ] ) ; }} }} return $out ;")
+    parts = found and {k: spoken(found[k], found["rows"], found["i"], "row") for k in ("value", "bad", "error", "test")}
+    if not parts or None in parts.values() or any(re.search(rf"\b{found['out']}\b", x) for x in parts.values()):
+        return None
+    pad = t.pad(block[i].start)
+    return last.end, f"return {found['rows']}.filter(function (row) {{\n{pad}  const {found['v']} = {parts['value']};\n{pad}  if ({parts['bad']}) throw {parts['error']};\n{pad}  return {parts['test']};\n{pad}}});"
+
+
+def substring_replace_loops(t: Tree) -> Iterator[tuple[int, int, str]]:
+    """(first token, token behind, text) of loops that put a text in place of every other one from a place on where the first stands: the only call is made where that place was found."""
+    shape = "let $out = \"\" , $at = 0 do {{ $out += $text . substring ( $at , $i ) + $new $at = $i + $old . length $i = $text . indexOf ( $old , $at ) }} while ( ~ $i ) return $out + $text . substring ( $at )"
+    for i in range(len(t.found)):
+        if t.at(i) == "let":
+            size = len(shape.split())
+            found = shaped(t, i, i + size, shape.replace("{{", "{").replace("}}", "}")) if i + size <= len(t.found) else None
+            head = t.words(max(0, i - 13), i)
+            named = next((head[j] for j in range(len(head) - 1) if head[j + 1] == "=" and head[j + 2 : j + 3] == ["("]), None) if found else None
+            calls = [j for j in range(len(t.found)) if t.at(j) == named and t.at(j + 1) == "("] if named else []
+            guarded = len(calls) == 1 and found["i"] in t.words(calls[0], t.pairs.get(calls[0] + 1, calls[0])) and any(t.words(j, j + 3) == ["~", found["i"], "?"] for j in range(max(0, calls[0] - 8), calls[0]))
+            if guarded and uses(t, named) == 2:
+                yield i, i + size, f"return {found['text']}.substring(0, {found['i']}) + {found['text']}.substring({found['i']}).split({found['old']}).join({found['new']})"
+
+
 # ---- Rust
 
 
@@ -506,22 +583,32 @@ def unbraced_arms(t: Tree) -> Iterator[tuple[int, int, str]]:
                 yield i, close + 1 + (t.at(close + 1) == ","), f"=> {t.text(i + 2, close)},"
 
 
+def interleave_to_join(t: Tree, block: list[Node], i: int) -> Fit | None:
+    n = block[i]
+    found = n.kind == "for" and shaped(t, n.start, n.end, "for ( $i , $x ) in $$source . iter ( ) . enumerate ( ) { if $i > 0 { $out . push ( $sep ) ; } $out . push_str ( & $$value ) ; }")
+    if not found or not re.fullmatch(r"'(?:\\.|[^'\\])'", found["sep"]) or re.search(rf"\b(?:{found['i']}|{found['out']})\b", found["value"]) or "?" in found["value"]:
+        return None
+    sep = {"'\"'": '\\"', "'\\''": "'"}.get(found["sep"], found["sep"][1:-1])
+    return n.end, f'{found["out"]}.push_str(&{found["source"]}.iter().map(|{found["x"]}| {found["value"]}).collect::<Vec<_>>().join("{sep}"));'
+
+
 SCRIPT_RULES = {
     "conditional-return": conditional_return, "inline-return-binding": inline_return_binding, "if-ladder-to-array-lookup": if_ladder_to_array_lookup,
     "accumulator-to-direct": accumulator_to_direct, "boolean-chain-collapse": boolean_chain_collapse, "unbrace-single-statement": unbrace_single_statement,
     "hoist-common-tail": hoist_common_tail, "for-loop-with-early-return-to-every": loop_to_every, "multi-condition-ladder": multi_condition_ladder, "filter-loop": filter_loop,
     "push-loop-to-map": push_loop_to_map, "copy-loop-to-slice": copy_loop_to_slice, "repeat-loop": repeat_loop, "return-ladder": return_ladder,
-    "undefined-default": undefined_default, "concise-arrow-return": concise_arrow,
+    "undefined-default": undefined_default, "concise-arrow-return": concise_arrow, "conditional-summary-loop": conditional_summary_loop, "validated-sum-loop": validated_sum_loop,
+    "guarded-filter-loop": guarded_filter_loop, "substring-replace-loop": substring_replace_loops,
 }
 RUST_RULES = {
     "inline-single-use-binding": inline_single_use_binding, "contains-check-loop": contains_check_loop, "for-count-to-method": for_count_to_method, "fold-add-to-sum": fold_add_to_sum,
     "unbrace-match-arm": unbraced_arms, "vec-push-run": vec_push_run, "string-concat-run": string_concat_run, "nested-if-collapse": nested_if_collapse, "let-else": let_else,
-    "any-flag-loop": any_flag_loop, "for-push-to-collect": for_push_to_collect, "use-merge": use_merge, "match-early-return-to-question": match_early_return_to_question,
+    "any-flag-loop": any_flag_loop, "for-push-to-collect": for_push_to_collect, "use-merge": use_merge, "match-early-return-to-question": match_early_return_to_question, "csv-interleave-to-join": interleave_to_join,
 }
 #: Rules over tokens rather than statements.
-OVER_TOKENS = {"concise-arrow-return", "unbrace-match-arm"}
+OVER_TOKENS = {"concise-arrow-return", "unbrace-match-arm", "substring-replace-loop"}
 #: Tried first and last, because another rule would take part of what they take.
-FIRST, LAST = ["boolean-chain-collapse", "if-ladder-to-array-lookup", "multi-condition-ladder", "return-ladder", "match-early-return-to-question"], ["unbrace-single-statement"]
+FIRST, LAST = ["conditional-summary-loop", "validated-sum-loop", "guarded-filter-loop", "boolean-chain-collapse", "if-ladder-to-array-lookup", "multi-condition-ladder", "return-ladder", "match-early-return-to-question"], ["unbrace-single-statement"]
 
 
 def _once(source: str, lang: str, only: set[str] | None) -> tuple[str, list[str]]:

@@ -22,6 +22,11 @@ CASES = [
     ("javascript", "for-loop-with-early-return-to-every", "function f(v) {\n  for (let i = 0; i < v.length; i++) {\n    if (typeof v[i] !== 'number' || !isFinite(v[i])) {\n      return false;\n    }\n  }\n  return true;\n}\n".replace("(v)", "(all)").replace("v[i]", "all[i]").replace("v.length", "all.length").replace("isFinite(v", "isFinite(all"), "function f(all) {\n  return all.every(function (v) { return !(typeof v !== 'number' || !isFinite(v)); });\n}\n"),
     ("javascript", "filter-loop", "function f(a) {\n  const out = [];\n  for (let i = 0; i < a.length; i++) {\n    if (a[i].ok) {\n      out.push(a[i]);\n    }\n  }\n  return out;\n}\n", "function f(a) {\n  const out = a.filter(function (value, i) { return value.ok; });\n  return out;\n}\n"),
     ("javascript", "undefined-default", "function f(n) {\n  let limit = n;\n  if (limit === undefined) {\n    limit = 5;\n  }\n  return limit;\n}\n", "function f(n) {\n  let limit = n === undefined ? 5 : n;\n  return limit;\n}\n"),
+    ("javascript", "conditional-summary-loop", "function f(rows) {\n  let count = 0;\n  let total = 0;\n  for (let i = 0; i < rows.length; i++) {\n    if (rows[i].amount >= 0) {\n      count = count + 1;\n      total = total + rows[i].amount;\n    }\n  }\n  return { count: count, total: total };\n}\n", "function f(rows) {\n  const kept = rows.filter(function (row) { return row.amount >= 0; });\n  return { count: kept.length, total: kept.reduce(function (total, row) { return total + row.amount; }, 0) };\n}\n"),
+    ("javascript", "validated-sum-loop", "function f(rows, c) {\n  let total = 0;\n  for (let i = 0; i < rows.length; i++) {\n    const v = rows[i][c];\n    if (!isFinite(v)) {\n      throw new TypeError('row ' + i);\n    }\n    total = total + v;\n  }\n  return total;\n}\n", "function f(rows, c) {\n  return rows.reduce(function (total, row, i) {\n    const v = row[c];\n    if (!isFinite(v)) throw new TypeError('row ' + i);\n    return total + v;\n  }, 0);\n}\n"),
+    ("javascript", "guarded-filter-loop", "function f(rows, a) {\n  const out = [];\n  for (let i = 0; i < rows.length; i++) {\n    const d = rows[i].date;\n    if (!ok(d)) {\n      throw new TypeError(d);\n    }\n    if (d >= a && d) {\n      out.push(rows[i]);\n    }\n  }\n  return out;\n}\n", "function f(rows, a) {\n  return rows.filter(function (row) {\n    const d = row.date;\n    if (!ok(d)) throw new TypeError(d);\n    return d >= a && d;\n  });\n}\n"),
+    ("javascript", "substring-replace-loop", 'let format = (s, close, r, index) =>\n  ~index ? open + swap(s, close, r, index) : s\nlet swap = (s, close, r, index) => {\n  let result = "", cursor = 0\n  do {\n    result += s.substring(cursor, index) + r\n    cursor = index + close.length\n    index = s.indexOf(close, cursor)\n  } while (~index)\n  return result + s.substring(cursor)\n}\n', "let format = (s, close, r, index) =>\n  ~index ? open + swap(s, close, r, index) : s\nlet swap = (s, close, r, index) => {\n  return s.substring(0, index) + s.substring(index).split(close).join(r)\n}\n"),
+    ("rust", "csv-interleave-to-join", "fn f(xs: &[P], out: &mut String) {\n    for (i, x) in xs.iter().enumerate() {\n        if i > 0 {\n            out.push(',');\n        }\n        out.push_str(&show(x));\n    }\n}\n", "fn f(xs: &[P], out: &mut String) {\n    out.push_str(&xs.iter().map(|x| show(x)).collect::<Vec<_>>().join(\",\"));\n}\n"),
     ("rust", "nested-if-collapse", "fn f() {\n    if a || b {\n        if c {\n            g();\n        }\n    }\n}\n", "fn f() {\n    if (a || b) && c {\n        g();\n    }\n}\n"),
     ("rust", "use-merge", "use std::io::Read;\nuse std::io::{Write, BufRead};\n", "use std::io::{Read, Write, BufRead};\n"),
     ("rust", "vec-push-run", "fn f() -> Vec<u8> {\n    let mut v = Vec::new();\n    v.push(1);\n    v.push(g(2, 3));\n    v\n}\n", "fn f() -> Vec<u8> {\n    let mut v = vec![1, g(2, 3)];\n    v\n}\n"),
@@ -61,6 +66,8 @@ LEFT = [
     ("javascript", "function f(b) {\n  const out = [];\n  for (let i = 0; i < b.length; i++) {\n    out.push(b.length);\n  }\n}\n", "push-loop-to-map"),
     ("javascript", "const s = 'if (a) { return 1; } return 2;'; const r = /{/g; const t = `${ {a: 1}.a }{`;\n", "conditional-return"),
     ("rust", "fn f() {\n    if a {\n        if b {\n            g();\n        } else {\n            h();\n        }\n    }\n}\n", "nested-if-collapse"),
+    ("javascript", "function f(rows) {\n  let total = 0;\n  for (let i = 0; i < rows.length; i++) {\n    const v = rows[i + 1];\n    if (!v) {\n      throw v;\n    }\n    total = total + v;\n  }\n  return total;\n}\n", "validated-sum-loop"),
+    ("javascript", 'let swap = (s, close, r, index) => {\n  let result = "", cursor = 0\n  do {\n    result += s.substring(cursor, index) + r\n    cursor = index + close.length\n    index = s.indexOf(close, cursor)\n  } while (~index)\n  return result + s.substring(cursor)\n}\nswap(a, b, c, d)\n', "substring-replace-loop"),
     ("rust", "use std::io::Read;\nuse std::fs::File;\n", "use-merge"),
     ("rust", "fn f() {\n    let mut v = Vec::new();\n    v.push(v.len());\n}\n", "vec-push-run"),
     ("rust", "fn f() {\n    let mut t: u32 = 0;\n    for x in v.iter() {\n        t += x?;\n    }\n}\n", "fold-add-to-sum"),
