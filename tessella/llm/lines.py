@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, scratch, settle, unused
+from .base import arrow_map, few, scratch, settle, unused
 from .lanes import U, Words, chunks, distinct, mix, ordered
 from .ngram import _SEEDS, BUCKETS, SHIFT, SLICE, _able, _by_doc, _even, _least, _lists, _pack, _rarity, hit, reread
 
-PARITY, REMEMBERED, _LOW = 256, 200_000, (1 << 64) - 1
+PARITY, REMEMBERED, _LOW = 128, 200_000, (1 << 64) - 1
 
 
 class Lines:
@@ -66,13 +66,18 @@ class Lines:
         self.row, self.token = distinct(row, token)
         self.n, self.first = _by_doc(self.row, len(rows))
 
+    def parity(self) -> np.ndarray:
+        """Two columns of bits a line: which of PARITY classes of tokens are odd in number."""
+        odd = np.bincount(self.row * PARITY + (mix(self.token ^ _SEEDS[2]) & U(PARITY - 1)).astype(np.int64), minlength=len(self.n) * PARITY) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, 2)
+
     def signature(self, i: int) -> np.ndarray:
         return np.add.reduceat(mix(self.token ^ _SEEDS[i]), self.first[:-1]).view(np.int64) if len(self.n) else np.empty(0, np.int64)
 
 
 def _summary(k: int, min_words: int):
-    """Rows of lines (doc_id, h, line, n, sig_a, sig_b), and for each task packed counts of its tokens by bucket (n: slice of buckets)."""
-    names = ["is_doc", "doc_id", "h", "line", "n", "sig_a", "sig_b", "counts"]
+    """Rows of lines (doc_id, h, line, n, sig_a, sig_b, b0, b1: parity), and for each task packed counts of its tokens by bucket (n: slice of buckets)."""
+    names = ["is_doc", "doc_id", "h", "line", "n", "sig_a", "sig_b", "b0", "b1", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, kind = np.zeros(BUCKETS, np.int64), None
@@ -82,11 +87,11 @@ def _summary(k: int, min_words: int):
                 x = Lines(w, k, min_words)
                 seen += np.bincount((x.token >> SHIFT).astype(np.int64), minlength=BUCKETS)
                 ids = [batch.column(i).take(pa.array(x.doc + begin)) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x.n), bool)), *ids, pa.array(x.line.astype(np.int32)), pa.array(x.n), pa.array(x.signature(0)), pa.array(x.signature(1)), pa.nulls(len(x.n), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x.n), bool)), *ids, pa.array(x.line.astype(np.int32)), pa.array(x.n), pa.array(x.signature(0)), pa.array(x.signature(1)), *[pa.array(np.ascontiguousarray(b)) for b in x.parity().T], pa.nulls(len(x.n), pa.binary())], names)
         if kind is not None:
             slices, task = BUCKETS // SLICE, int.from_bytes(os.urandom(4))
             packed = [_pack(x) for x in seen.reshape(slices, SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(slices, bool)), pa.nulls(slices, kind), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.array(np.arange(slices)), pa.array(np.full(slices, task)), pa.nulls(slices, pa.int64()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(slices, bool)), pa.nulls(slices, kind), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.array(np.arange(slices)), pa.array(np.full(slices, task)), *[pa.nulls(slices, pa.int64())] * 3, pa.array(packed, pa.binary())], names)
 
     return run
 
@@ -97,7 +102,7 @@ def _least_size(percent: int) -> int:
 
 
 def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
-    """Rows (sig_a, sig_b, n, p1: first tokens by rarity, bits) of lines; a task gives a line that it remembers once."""
+    """Rows (sig_a, n, p1: first tokens by rarity) of lines; a task gives a line that it remembers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -106,16 +111,13 @@ def _prefixes(k: int, percent: int, min_words: int, rarity: np.ndarray):
                 x = Lines(w, k, min_words)
                 order = ordered(x.row, rarity[(x.token >> SHIFT).astype(np.int64)], x.token)
                 values, taken = _lists(x.token.view(np.int64), x.first, x.n, _least(x.n, percent), order)
-                odd = np.bincount(x.row * PARITY + (mix(x.token ^ _SEEDS[2]) & U(PARITY - 1)).astype(np.int64), minlength=len(x.n) * PARITY) & 1
-                bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 p1 = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(values))
-                fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(x.n) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(bits))
                 sig, other = x.signature(0), x.signature(1)
                 new = np.array([not (s in seen or seen.add(s)) for s in (a << 64 | b & _LOW for a, b in zip(sig.tolist(), other.tolist(), strict=True))], bool)
                 new &= x.n >= _least_size(percent)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(other), pa.array(x.n), p1, fixed], ["sig_a", "sig_b", "n", "p1", "bits"]).filter(pa.array(new))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(x.n), p1], ["sig_a", "n", "p1"]).filter(pa.array(new))
 
     return run
 
@@ -155,12 +157,12 @@ def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame
     """docs (doc_id, text, h) to (doc_id, h, removed): numbers of the lines that go, of documents that lose any."""
     kind = docs.dtypes[0][1]
     known = docs.where("doc_id is not null")
-    summary = settle(arrow_map(known, _summary(k, min_words), f"is_doc boolean, doc_id {kind}, h long, line int, n long, sig_a long, sig_b long, counts binary"), "lines-summary")
+    summary = settle(arrow_map(known, _summary(k, min_words), f"is_doc boolean, doc_id {kind}, h long, line int, n long, sig_a long, sig_b long, b0 long, b1 long, counts binary"), "lines-summary")
     rarity = _rarity(summary)
-    rows = summary.where("is_doc").select("doc_id", "h", "line", *KEY)
-    first = settle(rows.groupBy(*KEY).agg(F.min(F.struct("doc_id", "h", "line")).alias("e"), F.count(F.lit(1)).alias("c")), "lines-first")
+    rows = summary.where("is_doc").select("doc_id", "h", "line", *KEY, "b0", "b1")
+    first = settle(rows.groupBy(*KEY).agg(F.min(F.struct("doc_id", "h", "line")).alias("e"), F.count(F.lit(1)).alias("c"), F.min("b0").alias("b0"), F.min("b1").alias("b1")), "lines-first")
 
-    prefixes = settle(arrow_map(known.select("text"), _prefixes(k, percent, min_words, rarity), "sig_a long, sig_b long, n long, p1 array<bigint>, bits array<bigint>"), "lines-prefixes")
+    prefixes = settle(arrow_map(known.select("text"), _prefixes(k, percent, min_words, rarity), "sig_a long, n long, p1 array<bigint>"), "lines-prefixes")
     # few columns: a row for every token of every line's prefix is shuffled. One signature does for proposing; the others come from the join
     listed = prefixes.select("sig_a", "n", F.posexplode("p1").alias("pos", "token")).select("token", "sig_a", F.expr("shiftleft(n, 32) | pos").alias("np"))
     # a token with one line proposes nothing; one shuffle serves to find the others, and a line is listed once a task at most
@@ -168,23 +170,21 @@ def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame
     member = listed.withColumn("differ", F.min("sig_a").over(group) != F.max("sig_a").over(group)).where("differ")
     member = member.groupBy("token", "sig_a", F.expr("shiftright(np, 32)").alias("n")).agg(F.min(F.expr("cast(np & 4294967295 as int)")).alias("pos"))
     member = settle(member.join(first.drop("c"), ["sig_a", "n"]), "lines-members")
-    sketch = prefixes.join(member.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "bits").dropDuplicates(KEY)
-    member = settle(member.join(sketch, KEY), "lines-sketched")
-    groups = member.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("e", "n", "pos", "bits")).alias("lead"))
+    groups = member.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("e", "n", "pos", "b0", "b1")).alias("lead"))
     member = member.join(groups, "token")
     lead = F.col("lead")
-    able = _able(F.col("n"), F.col("pos"), lead.n, lead.pos, percent) & _even(F.col("n"), F.col("bits"), lead.n, lead.bits, percent, PARITY)
+    able = _able(F.col("n"), F.col("pos"), lead.n, lead.pos, percent) & _even(F.col("n"), F.array("b0", "b1"), lead.n, F.array(lead.b0, lead.b1), percent, PARITY)
     later = member.where(F.col("e") != lead.e)
     late = _verified(known, later.where(able).select(*KEY, F.col("e").alias("x"), lead.e.alias("y")), k, percent, min_words, kind)
 
-    probe = later.join(late, KEY, "left_anti").select("token", *KEY, F.col("e").alias("x"), F.col("pos").alias("xpos"), F.col("bits").alias("xbits"))
-    others = later.select("token", F.col("e").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("bits").alias("ybits"))
+    probe = later.join(late, KEY, "left_anti").select("token", *KEY, F.col("e").alias("x"), F.col("pos").alias("xpos"), F.array("b0", "b1").alias("xbits"))
+    others = later.select("token", F.col("e").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.array("b0", "b1").alias("ybits"))
     able = _able(F.col("yn"), F.col("ypos"), F.col("n"), F.col("xpos"), percent) & _even(F.col("yn"), F.col("ybits"), F.col("n"), F.col("xbits"), percent, PARITY)
     rest = probe.join(others, "token").where((F.col("y") < F.col("x")) & able).select(*KEY, "x", "y")
     late = late.unionByName(_verified(known, rest, k, percent, min_words, kind)).distinct()
 
-    fate = first.join(late.withColumn("late", F.lit(True)), KEY, "left").where("late or c > 1").select(*KEY, "e", F.coalesce("late", F.lit(False)).alias("late"))
-    away = rows.join(fate, KEY).where(F.col("late") | (F.struct("doc_id", "h", "line") != F.col("e")))
+    fate = settle(first.join(late.withColumn("late", F.lit(True)), KEY, "left").where("late or c > 1").select(*KEY, "e", F.coalesce("late", F.lit(False)).alias("late")), "lines-fate")
+    away = rows.drop("b0", "b1").join(few(fate), KEY).where(F.col("late") | (F.struct("doc_id", "h", "line") != F.col("e")))
     return settle(away.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")), "lines-removed", keep=True)
 
 

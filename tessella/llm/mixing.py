@@ -13,8 +13,8 @@ are hashes of ids, so reruns agree on any cluster.
 
 Defined results: null and blank texts have size 0 and are taken as often as the whole part says; rows that repeat doc_id,
 source and size are one unit and share one decision; a source of size 0 has target 0; an empty table gives an empty
-result; other columns are ignored, or kept by mix, whatever they are called. A source that holds most rows is dealt over chunks by hash; only per-source sums are
-ordered, and only totals reach the driver.
+result; other columns are ignored, or kept by mix, whatever they are called. A source that holds
+most rows is dealt over chunks by hash; only per-source sums are ordered, by ranges, and only totals reach the driver.
 """
 
 from __future__ import annotations
@@ -33,11 +33,19 @@ def units(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n.alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
 
 
+def _placed(sources: DataFrame) -> DataFrame:
+    """source, source_size and place from 0 in the order of sources: sorted by ranges, and each range numbered from where the one before ended."""
+    rows = sources.orderBy(F.col("source").asc_nulls_last()).select("source", "source_size", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    rows = settle(rows, "mix-ranges")
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("part", "first", before.alias("before")), "part").select("source", "source_size", (F.col("row") - F.col("first") + F.col("before")).alias("place"))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """source, source_size and target of each source of units."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    rows = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
-    rows = settle(rows.select("source", "source_size", F.get(F.array(*[F.lit(float(w)) for w in weights]), place % len(weights)).alias("weight")), "mix-sources")
+    rows = _placed(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")))
+    rows = settle(rows.select("source", "source_size", F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights)).cast("int")).alias("weight")), "mix-sources")
     most = cap * F.col("source_size")
     level, full = None, -1
     while True:
