@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalog import register
@@ -43,9 +43,9 @@ def char_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(F.array_remove(F.split(F.lower("text"), ""), "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("slugs", f"SELECT doc_id, regexp_replace(regexp_replace(replace(translate(lower(split_part(text, chr(10), 1)), '{t.FOLD_FROM}', '{t.FOLD_TO}'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
+@register("slugs", f"SELECT doc_id, regexp_replace(regexp_replace(replace(translate(lower(text), '{t.FOLD_FROM}', '{t.FOLD_TO}'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", t.slug(F.substring_index("text", "\n", 1)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.slug(F.col("text")).alias("slug"))
 
 
 @register("longest_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, i) AS rn FROM l) WHERE rn = 1")
@@ -94,7 +94,7 @@ def loc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("p_partkey").alias("k"), *[F.col(f"c.{x}").cast("long").alias(x) for x in ("code", "comment", "blank")])
 
 
-@register("mask_roundtrip", "SELECT page_id, len(regexp_extract_all(html, '<p>[^<]*</p>')) AS masked, true AS restored FROM pages")
+@register("mask_roundtrip", "SELECT page_id, len(regexp_extract_all(html, '<p>[^<]*</p>')) AS masked, length(regexp_replace(html, '<p>[^<]*</p>', '', 'g')) + CAST(coalesce(list_sum(list_transform(regexp_extract_all(html, '<p>[^<]*</p>'), lambda x: length(x))), 0) AS BIGINT) = length(html) AS restored FROM pages")
 def mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = masking.mask(table(spark, sf_dir, "pages"), "html", "<p>[^<]*</p>")
     back = masking.unmask(F.col("masked_text"), F.col("spans"))

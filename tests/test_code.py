@@ -55,7 +55,7 @@ def test_symbols_and_edits():
     source = "class A:\n    def f(self):\n        return 1\n\n\ndef _g(x):\n    return x\n"
     found = code.symbols(source, "python")
     assert [s[:2] for s in found] == [("A.f", False), ("_g", True)]
-    name, _, start, end, text = found[0]
+    _, _, start, end, text = found[0]
     new = code.spliced(source, start, end, text, "def f(self):\n    if self:\n        return 2\n")
     assert new == "class A:\n    def f(self):\n        if self:\n            return 2\n\n\ndef _g(x):\n    return x\n"
     assert code.spliced(source, start, end, text + "x", "y") is None and code.spliced(source, start, end, text, " \n") is None
