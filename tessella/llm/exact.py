@@ -62,11 +62,12 @@ def _groups(rows: DataFrame) -> DataFrame:
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_all: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept (and text_sha256 with digest_all)."""
     rows = refine(docs, doc_id, text, digest_all)
+    groups = settle(_groups(rows), "exact-groups")
     more = ["text_sha256"] if digest_all else []
     # rows that are alone have no key; in the join they would all meet in one task
     alone = rows.where("content_key is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *more)
     kept = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("n_chars") == F.col("best_chars"))
-    found = rows.where("content_key is not null").join(_groups(rows), "content_key").select("doc_id", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), *more)
+    found = rows.where("content_key is not null").join(few(groups), "content_key").select("doc_id", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), *more)
     return found.unionByName(alone)
 
 

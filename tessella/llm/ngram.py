@@ -32,12 +32,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, scratch, settle, unused
+from .base import arrow_map, few, scratch, settle, unused
 from .lanes import U, chunks, mix, ordered
 from .links import components
 
@@ -65,15 +64,16 @@ def _unpack(counts: bytes) -> np.ndarray:
 def _rarity(summary: DataFrame) -> np.ndarray:
     """Class of each bucket of tokens, by how many tokens of all documents fell in it; slices of buckets are added up in a tree."""
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
+    def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(SLICE, np.int64)
         for x in rows["counts"]:
-            total += _unpack(x)
-        return rows.head(1).assign(counts=[_pack(total)])
+            total += _unpack(x.as_py())
+        at = rows.schema.get_field_index("counts")
+        return rows.slice(0, 1).set_column(at, "counts", pa.array([_pack(total)], pa.binary()))
 
     rows = summary.where("not is_doc").select("n", F.pmod("sig_a", F.lit(FAN)).alias("branch"), "counts")
     schema = rows.schema
-    rows = rows.groupBy("n", "branch").applyInPandas(add, schema).groupBy("n").applyInPandas(add, schema)
+    rows = rows.groupBy("n", "branch").applyInArrow(add, schema).groupBy("n").applyInArrow(add, schema)
     counts = np.zeros((BUCKETS // SLICE, SLICE), np.int64)
     for r in rows.collect():
         counts[r.n] = _unpack(r.counts)
@@ -238,8 +238,8 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows, texts = rows.withColumn("own", F.when(F.col("doc_id").isNotNull(), node)), docs.where("doc_id is not null").select(node.alias("doc_id"), "text")
     kind = texts.dtypes[0][1]
     key = ["sig_a", "sig_b", "n"]
-    copies = rows.where("n > 0").groupBy(*key).agg(F.min("own").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    grouped = settle(rows.where("n > 0").join(copies, key, "left").select("doc_id", "h", "n", "own", F.coalesce("rep", "own").alias("rep")), "ngram-classes")
+    copies = settle(rows.where("n > 0").groupBy(*key).agg(F.min("own").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "ngram-copies")
+    grouped = settle(rows.where("n > 0").join(few(copies), key, "left").select("doc_id", "h", "n", "own", F.coalesce("rep", "own").alias("rep")), "ngram-classes")
     gone = grouped.where("own <> rep").select(F.col("own").alias("doc_id"))
     prefixes = arrow_map(texts, _prefixes(k, percent, rarity), f"doc_id {kind}, n long, p1 array<bigint>, p2 array<int>, p3 array<int>, bits array<bigint>")
     prefixes = settle(prefixes.where("n > 0").join(gone, "doc_id", "left_anti"), "ngram-prefixes")
