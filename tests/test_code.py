@@ -149,3 +149,33 @@ def test_short_protected_texts_are_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {(r.doc_id, r.item_id) for r in hits(docs, spark.createDataFrame(list(enumerate(needles)), "item_id long, text string")).collect()}
     assert found == {(i, j) for i, x in enumerate(texts) for j, n in enumerate(needles) if n and n in x}
+
+
+def test_culprits_are_found_by_halves():
+    asked = []
+
+    def passes(bad):
+        def check(items):
+            asked.append(tuple(items))
+            return not bad & set(items)
+
+        return check
+
+    assert records.culprits(list(range(16)), passes({3, 12})) == [3, 12] and len(asked) < 20
+    assert records.culprits(list(range(16)), passes(set())) == [] and records.culprits([], passes({1})) == []
+    assert records.culprits([1, 2, 3, 4], lambda items: not {1, 4} <= set(items)) == [1, 2, 3, 4]
+
+
+def test_reports_say_whether_they_are_complete(spark, tmp_path):
+    from tessella.sources import tables
+
+    rows = spark.createDataFrame([("a", 3, True), ("b", 2, False)], "name string, loc long, valid boolean")
+    said = tables.report(rows, F.col("valid"), "name", f"{tmp_path}/r")
+    assert said.startswith("Coverage: 1/2 projects passed. INCOMPLETE") and "| a | 3 | True |" in said
+    assert tables.report(rows.where("valid"), F.col("valid"), "name", f"{tmp_path}/s").startswith("Coverage: 1/1 projects passed. Complete run.")
+
+
+def test_change_shapes(spark):
+    diffs = ["+++ b\n+x = v.iter().sum();\n-for a in b {\n-}\n--- a", "diff --git a\ndiff --git b", "+fn _h() {}", "+ return 1; } else", "+plain"]
+    rows = spark.createDataFrame([(d,) for d in diffs], "d string").select(code.change_shapes(F.col("d")).alias("c")).collect()
+    assert [(r.c.shapes, r.c.net) for r in rows] == [(["loop-to-iterator"], 1), (["dedup-extract-helper"], 0), (["dedup-extract-helper"], 0), (["guard-merge"], 0), (["other"], 0)]
