@@ -170,16 +170,16 @@ def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame
     member = listed.withColumn("differ", F.min("sig_a").over(group) != F.max("sig_a").over(group)).where("differ")
     member = member.groupBy("token", "sig_a", F.expr("shiftright(np, 32)").alias("n")).agg(F.min(F.expr("cast(np & 4294967295 as int)")).alias("pos"))
     member = settle(member.join(first.drop("c"), ["sig_a", "n"]), "lines-members")
-    # dealt by token once for the groups and for both joins with them
-    member = member.repartition("token")
-    member = member.join(member.groupBy("token").agg(F.min(F.struct("e", "n", "pos", "b0", "b1")).alias("lead")), "token")
-    lead = F.col("lead")
+    # each line beside its group's earliest; where a group has only one other, that comparison is the last
+    group, lead = Window.partitionBy("token"), F.col("lead")
+    member = member.withColumns({"lead": F.min(F.struct("e", "n", "pos", "b0", "b1")).over(group), "c": F.count(F.lit(1)).over(group)}).where(F.col("e") != lead.e)
     able = _able(F.col("n"), F.col("pos"), lead.n, lead.pos, percent) & _even(F.col("n"), F.array("b0", "b1"), lead.n, F.array(lead.b0, lead.b1), percent, PARITY)
-    later = member.where(F.col("e") != lead.e)
-    late = _verified(known, later.where(able).select(*KEY, F.col("e").alias("x"), lead.e.alias("y")), k, percent, min_words, kind)
+    later = settle(member.select("token", *KEY, "e", "pos", "b0", "b1", "c", F.when(able, lead.e).alias("y")), "lines-later")
+    late = _verified(known, later.where("y is not null").select(*KEY, F.col("e").alias("x"), "y"), k, percent, min_words, kind)
 
-    probe = later.join(few(late), KEY, "left_anti").select("token", *KEY, F.col("e").alias("x"), F.col("pos").alias("xpos"), F.array("b0", "b1").alias("xbits"))
-    others = later.select("token", F.col("e").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.array("b0", "b1").alias("ybits"))
+    crowd = later.where("c > 2")
+    probe = crowd.join(few(late), KEY, "left_anti").select("token", *KEY, F.col("e").alias("x"), F.col("pos").alias("xpos"), F.array("b0", "b1").alias("xbits"))
+    others = crowd.select("token", F.col("e").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.array("b0", "b1").alias("ybits"))
     able = _able(F.col("yn"), F.col("ypos"), F.col("n"), F.col("xpos"), percent) & _even(F.col("yn"), F.col("ybits"), F.col("n"), F.col("xbits"), percent, PARITY)
     rest = probe.join(others, "token").where((F.col("y") < F.col("x")) & able).select(*KEY, "x", "y")
     late = late.unionByName(_verified(known, rest, k, percent, min_words, kind)).distinct()
