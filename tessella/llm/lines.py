@@ -142,7 +142,7 @@ KEY = ["sig_a", "sig_b", "n"]
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, min_words: int, kind: str) -> DataFrame:
-    """KEY of the later lines of those pairs (KEY, x, y), x and y places of lines, whose sets are similar."""
+    """Places x of the later lines of those pairs (x, y) of places whose sets are similar."""
     pairs = settle(pairs.distinct(), "lines-pairs")
     ends = settle(pairs.select(F.explode(F.array("x", "y")).alias("e")).select(F.struct("e.doc_id", "e.h").alias("id"), "e.line").distinct(), "lines-ends")
     sets = reread(docs.select(F.struct("doc_id", "h").alias("id"), "text"), ends.select("id").distinct(), lambda bitmap: _sets(k, min_words, bitmap), f"id struct<doc_id:{kind},h:bigint>, line int, tokens array<bigint>")
@@ -150,7 +150,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, min_words
     side = lambda c: sets.select(F.struct("id.doc_id", "id.h", "line").alias(c), F.col("tokens").alias(f"s{c}"))
     both = F.size(F.array_intersect("sx", "sy"))
     found = pairs.join(side("x"), "x").join(side("y"), "y").where(100 * both >= percent * (F.size("sx") + F.size("sy") - both))
-    return settle(found.select(*KEY).distinct(), "lines-late")
+    return settle(found.select("x").distinct(), "lines-late")
 
 
 def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame:
@@ -169,22 +169,23 @@ def _removed(docs: DataFrame, k: int, percent: int, min_words: int) -> DataFrame
     group = Window.partitionBy("token")
     member = listed.withColumn("differ", F.min("sig_a").over(group) != F.max("sig_a").over(group)).where("differ")
     member = member.groupBy("token", "sig_a", F.expr("shiftright(np, 32)").alias("n")).agg(F.min(F.expr("cast(np & 4294967295 as int)")).alias("pos"))
-    member = settle(member.join(first.drop("c"), ["sig_a", "n"]), "lines-members")
+    # from here on a set is known by its place, and signatures need not be carried
+    member = settle(member.join(first.drop("c"), ["sig_a", "n"]).drop("sig_a", "sig_b"), "lines-members")
     # each line beside its group's earliest; where a group has only one other, that comparison is the last
     group, lead = Window.partitionBy("token"), F.col("lead")
     member = member.withColumns({"lead": F.min(F.struct("e", "n", "pos", "b0", "b1")).over(group), "c": F.count(F.lit(1)).over(group)}).where(F.col("e") != lead.e)
     able = _able(F.col("n"), F.col("pos"), lead.n, lead.pos, percent) & _even(F.col("n"), F.array("b0", "b1"), lead.n, F.array(lead.b0, lead.b1), percent, PARITY)
-    later = settle(member.select("token", *KEY, "e", "pos", "b0", "b1", "c", F.when(able, lead.e).alias("y")), "lines-later")
-    late = _verified(known, later.where("y is not null").select(*KEY, F.col("e").alias("x"), "y"), k, percent, min_words, kind)
+    later = settle(member.select("token", "e", "n", "pos", "b0", "b1", "c", F.when(able, lead.e).alias("y")), "lines-later")
+    late = _verified(known, later.where("y is not null").select(F.col("e").alias("x"), "y"), k, percent, min_words, kind)
 
     crowd = later.where("c > 2")
-    probe = crowd.join(few(late), KEY, "left_anti").select("token", *KEY, F.col("e").alias("x"), F.col("pos").alias("xpos"), F.array("b0", "b1").alias("xbits"))
+    probe = crowd.join(few(late.toDF("e")), "e", "left_anti").select("token", F.col("e").alias("x"), F.col("n"), F.col("pos").alias("xpos"), F.array("b0", "b1").alias("xbits"))
     others = crowd.select("token", F.col("e").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.array("b0", "b1").alias("ybits"))
     able = _able(F.col("yn"), F.col("ypos"), F.col("n"), F.col("xpos"), percent) & _even(F.col("yn"), F.col("ybits"), F.col("n"), F.col("xbits"), percent, PARITY)
-    rest = probe.join(others, "token").where((F.col("y") < F.col("x")) & able).select(*KEY, "x", "y")
+    rest = probe.join(others, "token").where((F.col("y") < F.col("x")) & able).select("x", "y")
     late = late.unionByName(_verified(known, rest, k, percent, min_words, kind)).distinct()
 
-    fate = settle(first.join(late.withColumn("late", F.lit(True)), KEY, "left").where("late or c > 1").select(*KEY, "e", F.coalesce("late", F.lit(False)).alias("late")), "lines-fate")
+    fate = settle(first.join(few(late.toDF("e").withColumn("late", F.lit(True))), "e", "left").where("late or c > 1").select(*KEY, "e", F.coalesce("late", F.lit(False)).alias("late")), "lines-fate")
     away = rows.drop("b0", "b1").join(few(fate), KEY).where(F.col("late") | (F.struct("doc_id", "h", "line") != F.col("e")))
     return settle(away.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")), "lines-removed", keep=True)
 
