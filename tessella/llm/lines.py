@@ -66,10 +66,12 @@ class Lines:
         self.row, self.token = distinct(row, token)
         self.n, self.first = _by_doc(self.row, len(rows))
 
-    def parity(self) -> np.ndarray:
-        """Two columns of bits a line: which of PARITY classes of tokens are odd in number."""
-        odd = np.bincount(self.row * PARITY + (mix(self.token ^ _SEEDS[2]) & U(PARITY - 1)).astype(np.int64), minlength=len(self.n) * PARITY) & 1
-        return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, 2)
+    def parity(self) -> list[np.ndarray]:
+        """Columns of bits a line: which of PARITY classes of tokens are odd in number; a word a token at a time, however many lines there are."""
+        at = mix(self.token ^ _SEEDS[2]) & U(PARITY - 1)
+        bit = U(1) << (at & U(63))
+        words = (np.where(at >> U(6) == U(i), bit, U(0)) for i in range(PARITY // 64))
+        return [np.bitwise_xor.reduceat(w, self.first[:-1]).view(np.int64) if len(self.n) else np.empty(0, np.int64) for w in words]
 
     def signature(self, i: int) -> np.ndarray:
         return np.add.reduceat(mix(self.token ^ _SEEDS[i]), self.first[:-1]).view(np.int64) if len(self.n) else np.empty(0, np.int64)
@@ -87,7 +89,7 @@ def _summary(k: int, min_words: int):
                 x = Lines(w, k, min_words)
                 seen += np.bincount((x.token >> SHIFT).astype(np.int64), minlength=BUCKETS)
                 ids = [batch.column(i).take(pa.array(x.doc + begin)) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x.n), bool)), *ids, pa.array(x.line.astype(np.int32)), pa.array(x.n), pa.array(x.signature(0)), pa.array(x.signature(1)), *[pa.array(np.ascontiguousarray(b)) for b in x.parity().T], pa.nulls(len(x.n), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x.n), bool)), *ids, pa.array(x.line.astype(np.int32)), pa.array(x.n), pa.array(x.signature(0)), pa.array(x.signature(1)), *map(pa.array, x.parity()), pa.nulls(len(x.n), pa.binary())], names)
         if kind is not None:
             slices, task = BUCKETS // SLICE, int.from_bytes(os.urandom(4))
             packed = [_pack(x) for x in seen.reshape(slices, SLICE)]

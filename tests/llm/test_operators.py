@@ -4,11 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, exact, lines, links, mixing, ngram, pii, quality, sentencepiece, toxicity
+from tessella.llm.lanes import chunks, mix
 from tessella.llm.queries import ORACLES, PIECES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +101,22 @@ def test_line_dedup(docs, monkeypatch, most):
     assert all((r.text is None) == (texts[r.doc_id] is None) and (r.text or "") == "\n".join(x for j, x in enumerate((texts[r.doc_id] or "").split("\n")) if j not in later[r.doc_id]) for r in out.collect())
 
 
+def test_parity_bits_of_many_short_lines():
+    """The bits are those of a plain count, and a text of very many short lines takes tens of bytes a line for them, not a thousand."""
+    text = "\n".join([*(f"w{i}" for i in range(100_000)), " ".join(f"v{i % 40}" for i in range(300))])
+    ((_, words),) = chunks(pa.array([text]), lower=True)
+    found = lines.Lines(words, 5, 1)
+    tracemalloc.start()
+    bits = found.parity()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * len(found.n)
+    at = (mix(found.token ^ ngram._SEEDS[2]) % lines.PARITY).tolist()
+    odd = collections.Counter(zip(found.row.tolist(), at, strict=True))
+    wanted = [[sum(1 << (b & 63) for b in range(64 * i, 64 * i + 64) if odd[row, b] % 2) for row in (0, 7, 100_000)] for i in range(lines.PARITY // 64)]
+    assert [[int(b[row]) % (1 << 64) for row in (0, 7, 100_000)] for b in bits] == wanted
+
+
 TWICE = [(1, "a unique text that stands alone here\nkeep me this is another line"), (0, "dup one two three four five six"), (1, "dup one two three four five six"), (None, "dup one two three four five six"), (None, "x"), (2, "Read more"), (3, "Read more\nonce only said here by nobody else"), (3, "Read more\nonce only said here by nobody else"), (4, None), (4, "")]
 
 
