@@ -95,7 +95,7 @@ def clone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function a part whose body follows from the brand."""
     word = lambda i: F.substring(F.sha2(F.concat("p_brand", F.lit(str(i))), 256), 1, 8)
     body = F.concat_ws(" ", *[word(i) for i in range(30)])
-    rows = table(spark, sf_dir, "part").select(part().alias("id"), F.concat(F.lit("src/"), "p_type", F.lit(".rs")).alias("path"), said("f", part()).alias("name"), said("fn f", part(), "() { ", body, " }").alias("text"))
+    rows = tables.spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey").select(part().alias("id"), F.concat(F.lit("src/"), "p_type", F.lit(".rs")).alias("path"), said("f", part()).alias("name"), said("fn f", part(), "() { ", body, " }").alias("text"))
     return similarity.clone_groups(rows)
 
 
