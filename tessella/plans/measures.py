@@ -20,7 +20,7 @@ def part() -> Column:
 
 @register("node_counts", N + f"SELECT {PYTHON} AS path, 34 + 6 * m + 8 * c - CASE WHEN s % 2 = 0 THEN 4 ELSE 0 END AS nodes FROM n")
 def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.mapped(files(spark, sf_dir), lambda t, g: [(code.node_count(t),)] if g == "python" else [], "nodes long")
+    return code.mapped(files(spark, sf_dir).where("lang = 'python'"), lambda t, g: [(code.node_count(t),)], "nodes long")
 
 
 @register("tree_totals", N + """SELECT 'python' AS lang, count(*) AS files, CAST(sum(6 + m + c) AS BIGINT) AS code, CAST(2 * count(*) AS BIGINT) AS comment, CAST(4 * count(*) AS BIGINT) AS blank,

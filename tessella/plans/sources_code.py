@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.catalog import register
 from tessella.operators import candidates, code
 from tessella.operators.compare import surface_changes
-from tessella.sources.tables import table
+from tessella.sources.tables import spread, table
 
 #: k: part, s: size, m: lines in a body, c: whether the private function is called. Both engines run this text.
 NUMBERS = "SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS s, CAST(p_size % 5 AS BIGINT) AS m, CASE WHEN p_partkey % 3 = 0 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS c FROM {part}"
@@ -25,7 +25,7 @@ N = "WITH n AS (" + NUMBERS.format(part="part") + ") "
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = FILES.replace("{", "{{").replace("}", "}}")  # braces of the sources stand for themselves
-    return spark.sql(f"WITH n AS ({NUMBERS}) {text}", part=table(spark, sf_dir, "part"))
+    return spark.sql(f"WITH n AS ({NUMBERS}) {text}", part=spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"))
 
 
 @register("symbol_spans", N + f"""SELECT {PYTHON} AS path, 3 AS start, 5 + m AS "end", '_part' || k AS name FROM n UNION ALL SELECT {PYTHON}, 7 + m, 12 + m + c, 'use' || k FROM n
@@ -78,12 +78,12 @@ def lines_without_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("unreachable_lines", N + f"SELECT {PYTHON} AS path, CAST(12 + m + c AS INT) AS line FROM n WHERE s % 2 = 0")
 def unreachable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.mapped(files(spark, sf_dir), lambda t, g: [(x,) for x in code.unreachable(t)] if g == "python" else [], "line int")
+    return code.mapped(files(spark, sf_dir).where("lang = 'python'"), lambda t, g: [(x,) for x in code.unreachable(t)], "line int")
 
 
 @register("python_loc", N + f"SELECT {PYTHON} AS path, CAST(6 + m + c AS INT) AS code, 2 AS comment, 4 AS blank FROM n")
 def python_loc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.mapped(files(spark, sf_dir), lambda t, g: [code.line_counts(t)] if g == "python" else [], "code int, comment int, blank int")
+    return code.mapped(files(spark, sf_dir).where("lang = 'python'"), lambda t, g: [code.line_counts(t)], "code int, comment int, blank int")
 
 
 @register("rewrites", N + f"""SELECT {PYTHON} AS path, 'inline-return-temp' AS rule, 1 AS n FROM n WHERE s % 2 = 1 OR c = 1

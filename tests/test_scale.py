@@ -2,6 +2,8 @@
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from tessella.operators import similarity
 
 
@@ -40,3 +42,23 @@ def test_clone_groups_of_copies(spark, monkeypatch):
     found = similarity.clone_groups(spark.createDataFrame(rows, "id long, path string, name string, text string")).collect()
     assert sorted((len(r.functions), list(r.functions)) for r in found) == brute_groups([(r[0], r[2], r[3]) for r in rows])
     assert joined == [7]  # a class each
+
+
+def test_sources_are_dealt_to_tasks(spark, sf_dir, monkeypatch):
+    """Parts come from one file; the work on their sources is dealt by their number, not by the file's size."""
+    from tessella.plans import sources_code
+    from tessella.sources import tables
+
+    monkeypatch.setattr(tables, "PER_TASK", 50)
+    parts = tables.table(spark, sf_dir, "part").count()
+    found = sources_code.files(spark, sf_dir)
+    used = found.where("lang = 'python'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= parts // 100 > 1 and found.count() == 3 * parts
+
+
+def test_script_without_a_fit_is_read_once(monkeypatch):
+    from tessella.operators import brace_rules
+
+    read = []
+    monkeypatch.setattr(brace_rules, "Tree", lambda *a, tree=brace_rules.Tree: read.append(a) or tree(*a))
+    assert brace_rules.shorten("call(x);\n", "javascript") == ("call(x);\n", []) and len(read) == 1
