@@ -119,7 +119,7 @@ def centred_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("money_texts", "SELECT c_custkey AS k, CASE WHEN round(c_acctbal) < 0 THEN '($' || format('{:,.2f}', abs(round(c_acctbal))) || ')' ELSE '$' || format('{:,.2f}', round(c_acctbal)) END AS shown, round(c_acctbal) AS back FROM customer")
 def money_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), b.money(F.round("c_acctbal")).alias("shown"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), b.money(b.rounded(F.col("c_acctbal"))).alias("shown"))
     return rows.select("k", "shown", b.parse_money(F.col("shown")).alias("back"))
 
 
