@@ -33,10 +33,10 @@ def helper_fault(helper: Column) -> Column:
     )
 
 
-def transaction_fault(sites: DataFrame, files: DataFrame) -> DataFrame:
+def transaction_fault(sites: DataFrame, files: DataFrame, most: int | None = SITES) -> DataFrame:
     """sites (tx, path, region, anchor, helper), files (path, text) to (tx, fault): the first rule a transaction breaks, or null.
 
-    A path may be given whole, or by a name that only one file has; region and anchor stand in the file exactly once.
+    most: sites that a transaction may have, null for any number. A path may be given whole, or by a name that only one file has; region and anchor stand in the file exactly once.
     """
     name = F.substring_index("path", "/", -1)
     known = files.select(F.col("path").alias("full"), name.alias("name"), "text")
@@ -48,7 +48,7 @@ def transaction_fault(sites: DataFrame, files: DataFrame) -> DataFrame:
     rows = rows.withColumns({"n": occurs(text, F.col("region")), "m": occurs(text, F.col("anchor")), "bad": helper_fault(F.col("helper"))})
     once = lambda c: F.bool_and(F.coalesce(F.col(c) == 1, F.lit(False)))
     found = rows.groupBy("tx").agg(F.count(F.lit(1)).alias("sites"), F.min("bad").alias("bad"), F.bool_or(text.isNull()).alias("lost"), once("n").alias("once"), once("m").alias("anchored"))
-    return found.select("tx", F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("sites") > SITES, "sites").when(F.col("lost"), "path").when(~F.col("once"), "region").when(~F.col("anchored"), "anchor").alias("fault"))
+    return found.select("tx", F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("sites") > F.lit(most), "sites").when(F.col("lost"), "path").when(~F.col("once"), "region").when(~F.col("anchored"), "anchor").alias("fault"))
 
 
 def off_rails(candidates: DataFrame, folders: DataFrame, literals: DataFrame) -> DataFrame:

@@ -92,3 +92,18 @@ def test_money_of_zeros_and_halves(spark, tmp_path):
     values = [-0.4, -0.49, -0.0, 0.0, 0.4, -0.5, 0.5, -0.51, 1.5, -1234.5, 1234567.89, None]
     found, wanted = against_sql(spark, tmp_path, "money_texts", "customer", pa.table({"c_custkey": list(range(len(values))), "c_acctbal": pa.array(values, pa.float64())}))
     assert found == wanted and "(0, '$-0.00', -0.0)" in found
+
+
+def test_orders_of_more_lines_than_a_transaction_may_have(spark, tmp_path):
+    """SQL judges an order's sites however many there are; the rule on their number stays with transactions."""
+    import pyarrow.parquet as pq
+
+    from tessella.operators import contracts
+
+    pq.write_table(pa.table({"p_partkey": [1, 2]}), tmp_path / "part.parquet")
+    lines = [(tx, 1 + i % 2, 6 if seventh and i == 3 else 0, flag) for tx, seventh, flag in ((6, True, "N"), (12, False, "N"), (18, False, "R"), (7, False, "N")) for i in range(17)]
+    rows = pa.table({"l_orderkey": [r[0] for r in lines], "l_partkey": [r[1] for r in lines], "l_linenumber": [1 + r[2] for r in lines], "l_returnflag": [r[3] for r in lines], "l_linestatus": ["O"] * len(lines)})
+    found, wanted = against_sql(spark, tmp_path, "transaction_faults", "lineitem", rows)
+    assert found == wanted and "(6, 'path')" in found and "(12, None)" in found
+    sites = spark.createDataFrame([(1, "a.rs", "one", "one", "fn h() {}")] * 17, "tx long, path string, region string, anchor string, helper string")
+    assert contracts.transaction_fault(sites, spark.createDataFrame([("a.rs", "one")], "path string, text string")).collect() == [(1, "sites")]
