@@ -136,7 +136,7 @@ def removable_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     g, i, text = k % 20, F.floor(k / 20), lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     before = F.when((i % 4 != 0) & (k > 20), text("    _f", (k - 20).cast("string"), "()\n")).otherwise("")
-    rows = table(spark, sf_dir, "part").select(text("lib", g.cast("string"), "/m", k.cast("string"), ".py").alias("path"), text("def _f", k.cast("string"), "():\n", before, "    return 1\n").alias("text"), F.lit("python").alias("lang"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(text("lib", g.cast("string"), "/m", k.cast("string"), ".py").alias("path"), text("def _f", k.cast("string"), "():\n", before, "    return 1\n").alias("text"), F.lit("python").alias("lang"))
     live = table(spark, sf_dir, "part").where("p_partkey % 9 = 0").select(text("live/u", k.cast("string"), ".txt").alias("path"), text("see _f", k.cast("string"), "\n").alias("text"), F.lit("text").alias("lang"))
     loads = spark.sql("SELECT 'lib3/load.py' AS path, 'import pkgutil' AS text, 'python' AS lang")
     every = rows.unionByName(live).unionByName(loads)
