@@ -152,3 +152,18 @@ def test_dup_components_of_odd_documents(spark, tmp_path, monkeypatch):
     docs = docs.filter(pa.compute.fill_null(pa.compute.not_equal(docs["doc_id"], 20), True))
     found, wanted = against_sql(spark, tmp_path, "dup_components", "documents", docs)
     assert found == wanted and len(found) > 2
+
+
+def test_closures_send_few_rows_to_the_driver(spark, monkeypatch):
+    """Edges and what is alive are broadcast only where few."""
+    from tessella.operators import graph
+
+    monkeypatch.setattr(graph, "FEW", 1)
+    nodes, edges = spark.range(1, 9).toDF("node"), spark.range(2, 9).selectExpr("id as src", "id div 2 as dst")
+    met = []
+    monkeypatch.setattr(graph, "settled", lambda df, settled=graph.settled: met.append(df._jdf.queryExecution().optimizedPlan().toString()) or settled(df))
+    closed = graph.closures(nodes, edges)
+    assert any("rightHint=(strategy=merge)" in plan for plan in met)
+    left = graph.removable(closed, spark.createDataFrame([(5,), (9,)], "node long"))
+    assert "strategy=merge" in left._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, left.groupBy("root").count().collect())) == [(3, 3), (4, 2), (6, 1), (7, 1), (8, 1)]
